@@ -69,6 +69,17 @@ def shapes(texts: pa.Array, words: Words) -> np.ndarray:
     return np.stack(cols, axis=1) * (words.count() > 0)[:, None]
 
 
+class Bag:
+    """Word hashes of some rows, without the text: what is left of ``Words`` when chunks are put together."""
+
+    def __init__(self, hashes: np.ndarray, count: np.ndarray):
+        self.hash, self.first = hashes, np.concatenate([[0], np.cumsum(count)])
+        self.doc = np.repeat(np.arange(len(count)), count)
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+
 @dataclass
 class Lexicon:
     """Words that tell a class: sorted hashes and weights (log-odds of a document's having the word)."""
@@ -76,7 +87,7 @@ class Lexicon:
     hashes: np.ndarray
     weights: np.ndarray
 
-    def score(self, words: Words) -> np.ndarray:
+    def score(self, words: Words | Bag) -> np.ndarray:
         """Per row: log1p of the sum of its words' weights, those that speak for the class."""
         out = np.zeros(len(words))
         if len(self.hashes) and len(words):
@@ -94,7 +105,7 @@ def in_row(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(h + doc.astype(np.uint64) * MULT)
 
 
-def fit_lexicon(words: Words, y: np.ndarray, z: float = 3.5, least: float = 0.1) -> Lexicon:
+def fit_lexicon(words: Words | Bag, y: np.ndarray, z: float = 3.5, least: float = 0.1) -> Lexicon:
     """Words in at least a share ``least`` of class 1 whose smoothed log-odds are ``z`` standard errors above zero.
 
     The share keeps out words that tell a class only because a labelled document has many copies.
@@ -145,9 +156,14 @@ def fit_rows(texts: list[str], quality: list[int], toxic: list[int]) -> Model:
     if good.all() or not good.any():
         return Model([], None, 0.5)
     arr = pa.array(texts, pa.string())
-    words = Words(arr)
+    form, parts = [], []
+    for i, j in chunks(arr):
+        words = Words(arr.slice(i, j - i))
+        form.append(shapes(arr.slice(i, j - i), words))
+        parts.append((words.hash, words.count()))
+    words = Bag(np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts]))
     lexicons = [fit_lexicon(words, t), fit_lexicon(words, 1 - q)]
-    x = np.concatenate([shapes(arr, words), *(s.score(words)[:, None] for s in lexicons)], axis=1)
+    x = np.concatenate([np.concatenate(form), *(s.score(words)[:, None] for s in lexicons)], axis=1)
     return Model(lexicons, logistic(x, good.astype(float)), float(good.mean()))
 
 
