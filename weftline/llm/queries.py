@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, decontam, langid, quality, secretscan, simhash
+from weftline.llm import annaq, bpe, decontam, htmltext, langid, licenses, quality, secretscan, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annaq.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -34,14 +38,30 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_secret_scan, op5_quality_classifier, op6_byte_bpe, op9_simhash_groups)}
+    every = (
+        op1_language_id, op2_decontamination, op3_secret_scan, op4_nearest_neighbours, op5_quality_classifier,
+        op6_byte_bpe, op7_license_scan, op8_warc_reader, op9_simhash_groups, op10_html_extraction,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    """No SQL: models, automata, trees and tokenizers. Tests hold each query against a brute-force version."""
-    return {}
+    """The WARC round trip gives the pages themselves. Models, automata, trees and tokenizers aren't SQL: tests hold those against brute force."""
+    return {"op8_warc_reader": "SELECT page_id, trim(url) AS url, html FROM pages"}
