@@ -57,9 +57,10 @@ def api_operation_id(application: Column | str, method: Column | str, route: Col
     return stable_id(kind, application, verb(method), route_path(route))
 
 
-def edge_id(source: Column | str, edge_type: Column | str, target: Column | str, raw: Column | str = F.lit(""), layer: Column | str = F.lit("TECHNICAL")) -> Column:
-    """edge: and the sha256 of the five parts joined by bars."""
-    return F.concat(F.lit("edge:"), F.sha2(F.concat_ws("|", _c(source), _c(edge_type), _c(target), F.coalesce(_c(raw), F.lit("")), _c(layer)), 256))
+def edge_id(source: Column | str, edge_type: Column | str, target: Column | str, raw: Column | str | None = None, layer: Column | str | None = None) -> Column:
+    """edge: and the sha256 of the five parts joined by bars; without an operation '', without a layer TECHNICAL."""
+    operation = F.lit("") if raw is None else F.coalesce(_c(raw), F.lit(""))
+    return F.concat(F.lit("edge:"), F.sha2(F.concat_ws("|", _c(source), _c(edge_type), _c(target), operation, F.lit("TECHNICAL") if layer is None else _c(layer)), 256))
 
 
 def edge_id_valid(source: Column, edge_type: Column, target: Column, layer: Column) -> Column:
