@@ -208,7 +208,7 @@ def decoded(raw: bytes, declared: str | None = None) -> tuple[str | None, str |
     return None, None, conflict or "DECODE_ERROR"
 
 
-@F.pandas_udf("struct<text:string,encoding:string,issue:string>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("text", "encoding", "issue")]))
 def decode_file(content: pd.Series, declared: pd.Series) -> pd.DataFrame:
     """Text, encoding and issue of each file; null content stays null."""
     return pd.DataFrame([(None, None, None) if c is None else decoded(bytes(c), d) for c, d in zip(content, declared)], columns=["text", "encoding", "issue"])
