@@ -170,3 +170,26 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["node_id"] for r in got.collect()) == ["n1", "n2"]
+
+
+def test_sql_graph(spark):
+    from tests.test_text import PLSQL
+    from weftline.sources.extract import loader_graph, sql_graph
+
+    f = spark.createDataFrame([("pkg.pkb", PLSQL), ("q.sql", "insert into app.log select * from orders o join other.x on 1=1 join s on 1=1 join nowhere on 1=1; select (1 from t"), ("none.sql", None)], "relative_path string, text string")
+    tables = spark.createDataFrame([("DB1", "APP", "ORDERS"), ("DB1", "APP", "LOG"), ("DB2", "APP", "NOWHERE")], "database_key string, schema_name string, object_name string")
+    g = sql_graph(f, tables, "DB1", "APP")
+    kinds = {r["node_id"]: r["node_type"] for r in g.nodes.collect()}
+    e = {(r["source_node_id"].split(":")[0], r["edge_type"], r["target_node_id"], r["raw_operation"]) for r in g.edges.collect()}
+    assert ("sql-file", "WRITES_TO", "table:DB1:LOG", "INSERTS") in e and ("sql-file", "READS_FROM", "table:DB1:ORDERS", "SELECT") in e
+    assert ("sql-file", "REMOTE_READS", "external-database-object:DB1:OTHER.TAB@LNK", "SELECT") in e  # through the synonym
+    assert kinds["external-database-object:DB1:OTHER.X"] == "EXTERNAL_DATABASE_OBJECT" and kinds["unresolved-reference:DB1:NOWHERE"] == "UNRESOLVED_REFERENCE"
+    assert ("function", "CONTAINS", "procedure:DB1:INNER:void", "") in e and ("function", "USES_SEQUENCE", "sequence:DB1:SEQ", "") in e
+    assert ("procedure", "CALLS", "function:DB1:F:NUMBER,VARCHAR2,DATE", "") in e and ("function", "CALLS", "unresolved-reference:DB1:routine:OTHER_PKG.CALL_IT", "") in e
+    assert {r["issue_type"] for r in g.issues.collect()} == {"PARSE_ERROR", "TABLE_NOT_FOUND", "DYNAMIC_SQL"}
+    assert {r["source_node_id"] for r in g.edges.collect()} | {r["target_node_id"] for r in g.edges.collect()} <= set(kinds)
+    ctl = spark.createDataFrame([("a.ctl", "load data infile 'a.dat' into table app.t (id, nope)"), ("b.ctl", "nothing")], "relative_path string, text string")
+    cols = spark.createDataFrame([("DB1", "T", "ID")], "database_key string, object_name string, column_name string")
+    lo = loader_graph(ctl, cols, "DB1")
+    assert {(r["edge_type"], r["target_node_id"]) for r in lo.edges.collect()} == {("LOADS_INTO", "table:DB1:T"), ("MAPS_TO", "column:DB1:T:ID"), ("READS_FROM", "data-file:a.dat")}
+    assert sorted(r["issue_type"] for r in lo.issues.collect()) == ["COLUMN_NOT_FOUND", "NOT_A_CONTROL_FILE"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.ids import edge_id
 from weftline.model import Graph
+from weftline.session import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,21 +47,23 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edge(df: DataFrame, source: Column, kind: Column, target: Column, layer: str, confidence: Column) -> DataFrame:
-    e = df.select(source.alias("source_node_id"), target.alias("target_node_id"), kind.alias("edge_type"), F.lit(layer).alias("graph_layer"), F.lit("").alias("raw_operation"), confidence.alias("confidence"), F.lit("{}").alias("properties_json"))
-    return e.groupBy("source_node_id", "target_node_id", "edge_type", "graph_layer", "raw_operation", "properties_json").agg(F.max("confidence").alias("confidence"))
+    return df.select(source.alias("source_node_id"), target.alias("target_node_id"), kind.alias("edge_type"), F.lit(layer).alias("graph_layer"), F.lit("").alias("raw_operation"), confidence.alias("confidence"), F.lit("{}").alias("properties_json"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items repeat their keys, so theirs are grouped, by the numbers and before any string is made; the other tables' keys are unique."""
     t = lambda n: table(spark, sf_dir, n)
-    one, sure, statement = F.lit(1.0), 1 - F.col("l_discount"), _key("sql-statement", "l_orderkey", "l_linenumber")
-    contains = F.lit("CONTAINS")
+    one, statement = F.lit(1.0), _key("sql-statement", "l_orderkey", "l_linenumber")
+    contains, sure = F.lit("CONTAINS"), F.col("sure")
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_returnflag") == "N").alias("reads"), (1 - F.col("l_discount")).alias("sure"))
+    once = lambda *keys: lines.groupBy(*keys).agg(F.max("sure").alias("sure"))
     found = [
         _edge(t("nation"), _key("system", "n_regionkey"), contains, _key("api-application", "n_nationkey"), "STRUCTURAL", one),
         _edge(t("customer"), _key("api-application", "c_nationkey"), contains, _key("ui-action", "c_custkey"), "STRUCTURAL", one),
         _edge(t("orders"), _key("ui-action", "o_custkey"), F.lit("CALLS_API"), _key("api-operation", "o_orderkey"), "TECHNICAL", one),
-        _edge(t("lineitem"), _key("api-operation", "l_orderkey"), F.lit("EXECUTES_SQL"), statement, "TECHNICAL", one),
-        _edge(t("lineitem"), statement, F.when(F.col("l_returnflag") == "N", "READS_FROM").otherwise("WRITES_TO"), _key("table", "l_partkey"), "DATA_FLOW", sure),
-        _edge(t("lineitem"), statement, F.lit("CALLS_API"), _key("external-system", "l_suppkey"), "TECHNICAL", sure),
+        _edge(lines.select("l_orderkey", "l_linenumber").distinct(), _key("api-operation", "l_orderkey"), F.lit("EXECUTES_SQL"), statement, "TECHNICAL", one),
+        _edge(once("l_orderkey", "l_linenumber", "l_partkey", "reads"), statement, F.when(F.col("reads"), "READS_FROM").otherwise("WRITES_TO"), _key("table", "l_partkey"), "DATA_FLOW", sure),
+        _edge(once("l_orderkey", "l_linenumber", "l_suppkey"), statement, F.lit("CALLS_API"), _key("external-system", "l_suppkey"), "TECHNICAL", sure),
     ]
     out = found[0]
     for df in found[1:]:
@@ -89,6 +92,11 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes(spark, sf_dir), edges(spark, sf_dir), evidence(spark, sf_dir), None, issues(spark, sf_dir))
 
 
+def published(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph with nodes and edges written to the shared folder: loops read them once a level, as they would a published graph."""
+    return Graph(written(nodes(spark, sf_dir)), written(edges(spark, sf_dir)))
+
+
 def _sql_node(id_: str, kind: str, name: str, qualified: str, package: str, of: str, system: str = "''", database: str = "''", conf: str = "1.0", props: str = "'{}'") -> str:
     return f"SELECT {id_} AS node_id, '{kind}' AS node_type, {name} AS technical_name, {qualified} AS qualified_name, {system} AS system_key, {database} AS database_key, CAST({conf} AS DOUBLE) AS confidence, {props} AS properties_json, {package} AS package_key FROM {of}"
 

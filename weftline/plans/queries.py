@@ -13,7 +13,7 @@ from weftline.operators import dedupe, enrich, links, memory, metrics, structure
 from weftline.operators.api import Api, table_lookup
 from weftline.plans import lift
 from weftline.plans.lift import SQL as L
-from weftline.plans.lift import graph, table
+from weftline.plans.lift import graph, published, table
 from weftline.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +43,7 @@ def _starts(spark: SparkSession, *node_ids: str) -> DataFrame:
 SELECT node_type, CAST(depth AS BIGINT) AS depth, count(*) AS n FROM (SELECT node_id, min(depth) AS depth FROM walk GROUP BY node_id) JOIN nodes USING (node_id) GROUP BY ALL""")
 def impact_of_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes reached from a region within three levels, by type."""
-    g = graph(spark, sf_dir)
+    g = published(spark, sf_dir)
     t = traverse.trace(g, _starts(spark, "system:1"), options=_UNBOUNDED, max_depth=3)
     return t.nodes.join(g.nodes.select("node_id", "node_type"), "node_id").groupBy("node_type", F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"))
 
@@ -52,7 +52,7 @@ def impact_of_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT node_id, CAST(min(depth) AS BIGINT) AS depth, node_id LIKE 'table:%' AS target FROM walk GROUP BY node_id""")
 def trace_out_to_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full trace to database objects, which are recorded and not expanded."""
-    t = traverse.trace(graph(spark, sf_dir), _starts(spark, "system:1"), "out", DB_OBJECTS, _UNBOUNDED)
+    t = traverse.trace(published(spark, sf_dir), _starts(spark, "system:1"), "out", DB_OBJECTS, _UNBOUNDED)
     return t.nodes.select("node_id", F.col("depth").cast("long").alias("depth"), "target")
 
 
@@ -61,20 +61,20 @@ walk(node_id, depth) AS (SELECT node_id, 0 FROM hit UNION SELECT e.source_node_i
 SELECT node_id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY node_id""")
 def impact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a change of the tables of a name touches."""
-    a = Api(graph(spark, sf_dir), options=_UNBOUNDED).impact_table("", "", "small_ring")
+    a = Api(published(spark, sf_dir), options=_UNBOUNDED).impact_table("", "", "small_ring")
     return a.nodes.select("node_id", F.col("depth").cast("long").alias("depth"))
 
 
 @query(L + """, walk(node_id, depth) AS (SELECT 'api-operation:7', 0 UNION SELECT e.target_node_id, w.depth + 1 FROM walk w JOIN edges e ON e.source_node_id = w.node_id WHERE w.depth < 8 AND w.node_id NOT LIKE 'table:%') SELECT DISTINCT node_id FROM walk WHERE node_id LIKE 'table:%'""")
 def impact_api(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables behind an operation."""
-    return Api(graph(spark, sf_dir), options=_UNBOUNDED).impact_api("get", "/orders/7").data["targets"]
+    return Api(published(spark, sf_dir), options=_UNBOUNDED).impact_api("get", "/orders/7").data["targets"]
 
 
 @query(L + """, walk(node_id, depth) AS (SELECT 'ui-action:3', 0 UNION SELECT e.target_node_id, w.depth + 1 FROM walk w JOIN edges e ON e.source_node_id = w.node_id WHERE w.depth < 8 AND w.node_id NOT LIKE 'table:%') SELECT DISTINCT node_id FROM walk WHERE node_id LIKE 'table:%'""")
 def trace_ui_to_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a screen's action, found by part of its name, to tables."""
-    return Api(graph(spark, sf_dir), options=_UNBOUNDED).trace_ui_to_db("customer#000000003").data["targets"]
+    return Api(published(spark, sf_dir), options=_UNBOUNDED).trace_ui_to_db("customer#000000003").data["targets"]
 
 
 @query(L + """, walk AS (SELECT node_id AS start, node_id AS here, [CAST('' AS VARCHAR)] AS path, 0 AS depth FROM nodes WHERE node_type = 'API_APPLICATION'
@@ -83,7 +83,7 @@ best AS (SELECT start, here, min(path) AS path, depth FROM walk WHERE here LIKE
 SELECT start, here AS target, CAST(depth AS BIGINT) AS depth, array_to_string(path[2:], ',') AS edges FROM best""")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One shortest path from every application to every statement it reaches."""
-    g = graph(spark, sf_dir)
+    g = published(spark, sf_dir)
     starts = g.nodes.where("node_type = 'API_APPLICATION'").select("node_id")
     p = traverse.shortest_paths(g.edges, starts, g.nodes, frozenset({"SQL_STATEMENT"}), 4, frozenset({"CONTAINS", "CALLS_API", "EXECUTES_SQL"}))
     return p.select("start", "target", F.col("depth").cast("long").alias("depth"), F.array_join("edges", ",").alias("edges"))
@@ -98,7 +98,7 @@ flows AS (SELECT 'flow:'||sha256(start||'|'||t||'|'||e1||'|'||e2) AS flow_id, 'A
 
 
 def _flows(spark: SparkSession, sf_dir: str) -> traverse.Flows:
-    g = graph(spark, sf_dir)
+    g = published(spark, sf_dir)
     return traverse.flows(g, Options(flow_entry_types=frozenset({"API_OPERATION"})))
 
 
@@ -118,7 +118,7 @@ def flow_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT start, count(*) AS n FROM walk GROUP BY start""")
 def reachable_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything reachable from each start, without a depth bound."""
-    g = graph(spark, sf_dir)
+    g = published(spark, sf_dir)
     starts = g.nodes.where("node_type = 'UI_ACTION'").select(F.col("node_id").alias("start"), "node_id")
     return traverse.reachable(g.edges, starts, "start", frozenset({"CALLS_API", "EXECUTES_SQL"})).groupBy("start").agg(F.count("*").alias("n"))
 
@@ -127,7 +127,7 @@ def reachable_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT node_id, label FROM lab""")
 def package_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of systems spread along containment until nothing changes."""
-    g = graph(spark, sf_dir)
+    g = published(spark, sf_dir)
     seeds = g.nodes.where("node_type = 'SYSTEM'").select("node_id", F.col("system_key").alias("label"))
     return traverse.propagated_labels(seeds, g.edges, frozenset({"CONTAINS"}))
 
