@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import fixtures as fx
 from weftline.llm import quality
+from weftline.llm.common import Words
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -52,6 +55,44 @@ def test_sparse_sites_move_to_the_prior(spark):
     assert 0.2 < got["small"] < 0.5
 
 
+def test_tally_equals_plain_counts():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["alpha", "alphabet", "be", "gamma", "gammas", "δelta", "x"]) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    y, own = np.array([rng.randint(0, 1) for _ in texts]), np.array([rng.randint(0, 1) for _ in texts])
+    hashes, [(one, zero)] = quality.tally(pa.array(texts), [(y, own)])
+    want: dict[str, list[int]] = {}
+    for t, c, o in zip(texts, y, own):
+        forms = {w.encode() for w in t.split()}
+        for f in {(0, w) for w in forms} | {(k, w[:k]) for w in forms for k in quality.STEMS if len(w) > k}:
+            want.setdefault(f, [0, 0])[1 - c] += int(o)
+    assert sorted(zip(one, zero)) == sorted(map(tuple, want.values())) and len(hashes) == len(want)
+
+
+def test_copies_count_once():
+    base = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(5)]
+    near = [b.replace("x30", "x99") for b in base]
+    sketch = quality.copies(Words(pa.array([*base, *near, "one", ""])))
+    keep = quality.without_copies(sketch, np.ones(12, int))
+    assert keep[:5].all() and keep[10:].all() and keep[5:10].sum() <= 1
+    y = np.array([1] * 5 + [0] * 7)
+    assert quality.without_copies(sketch, y).all()  # copies of the other class stay
+
+
+def test_forms_of_a_stem_that_no_labelled_text_has():
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    some = lambda: [rng.choice(words) for _ in range(80)]
+    texts, toxic = [], []
+    for i in range(600):
+        bad = i % 6 == 0
+        texts.append(" ".join(some() + ([f"grimble{rng.choice('abcdefgh')}{rng.randrange(50)}" for _ in range(3)] if bad else [])))
+        toxic.append(int(bad))
+    model = quality.fit_rows(texts, [1] * 600, toxic)
+    fresh = pa.array([" ".join([*some(), "grimblezz999"]), " ".join(some())])
+    bad, good = model.evidence(fresh)
+    assert bad < -1 < 0 < good
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import MULT, Words, chunks, maybe_broadcast, mix, raw_bytes, segment_sum, ship, span_hash, stored
+from weftline.llm.common import MULT, Words, chunks, kgrams, maybe_broadcast, mix, raw_bytes, segment_sum, ship, span_hash, stored
 
 #: Labelled rows that the document model is fitted on, at most: a bound of the training sample.
 TRAIN_ROWS = 6000
@@ -69,8 +69,12 @@ def shapes(texts: pa.Array, words: Words) -> np.ndarray:
     return np.stack(cols, axis=1) * (words.count() > 0)[:, None]
 
 
+#: Bytes of the beginnings of words that are terms too: they carry over to forms of a stem that no labelled text has.
+STEMS = (4, 5)
+
+
 class Bag:
-    """Word hashes of some rows, without the text: what is left of ``Words`` when chunks are put together."""
+    """Hashes of some rows' terms: those of row r from first[r] to first[r + 1]."""
 
     def __init__(self, hashes: np.ndarray, count: np.ndarray):
         self.hash, self.first = hashes, np.concatenate([[0], np.cumsum(count)])
@@ -80,6 +84,42 @@ class Bag:
         return len(self.hash)
 
 
+def terms(words: Words) -> Bag:
+    """Each word and its beginnings, in order; 0 in place of a beginning that is the whole word."""
+    cols = [words.hash]
+    size = words.end - words.start
+    for k in STEMS:
+        long = np.flatnonzero(size > k)
+        h = np.zeros(len(words), np.uint64)
+        h[long] = mix(span_hash(words.buf, words.start[long], words.start[long] + k) ^ np.uint64(k))
+        cols.append(h)
+    return Bag(np.stack(cols, axis=1).ravel(), words.count() * len(cols))
+
+
+def copies(words: Words) -> np.ndarray:
+    """Three numbers a row that near copies mostly share: the least hashes of its runs of three words."""
+    h, at = kgrams(words, 3)
+    row = words.doc[at]
+    first = np.searchsorted(row, np.arange(len(words.first)))
+    full = np.flatnonzero(np.diff(first) > 0)
+    out = np.zeros((len(words.first) - 1, 3), np.uint64)
+    for j in range(3):
+        if len(full):
+            out[full, j] = np.minimum.reduceat(mix(h ^ np.uint64(j * 0x9E37)), first[full])
+    return out
+
+
+def without_copies(sketch: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows of the sample of which no earlier row of the same class is a near copy (one of the three numbers is shared)."""
+    keep = np.ones(len(sketch), bool)
+    for j in range(sketch.shape[1]):
+        key = mix(sketch[:, j] + y.astype(np.uint64) * MULT)
+        again = np.ones(len(key), bool)
+        again[np.unique(key, return_index=True)[1]] = False
+        keep &= ~again | (sketch[:, j] == 0)
+    return keep
+
+
 @dataclass
 class Lexicon:
     """Words that tell a class: sorted hashes and weights (log-odds of a document's having the word)."""
@@ -87,8 +127,8 @@ class Lexicon:
     hashes: np.ndarray
     weights: np.ndarray
 
-    def score(self, words: Words | Bag) -> np.ndarray:
-        """Per row: log1p of the sum of its words' weights, those that speak for the class."""
+    def score(self, words: Bag) -> np.ndarray:
+        """Per row: log1p of the sum of its terms' weights, those that speak for the class."""
         out = np.zeros(len(words))
         if len(self.hashes) and len(words):
             sieve = np.zeros(1 << 16, bool)
@@ -105,19 +145,28 @@ def in_row(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(h + doc.astype(np.uint64) * MULT)
 
 
-def fit_lexicon(words: Words | Bag, y: np.ndarray, z: float = 3.5, least: float = 0.1) -> Lexicon:
-    """Words in at least a share ``least`` of class 1 whose smoothed log-odds are ``z`` standard errors above zero.
+def tally(texts: pa.Array, classes: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """All terms of the texts and, for each of ``classes`` (y, rows that count), the rows of class 1 and of class 0 that have them; chunk by chunk."""
+    hashes = np.zeros(0, np.uint64)
+    counts = np.zeros((0, 2 * len(classes)))
+    for i, j in chunks(texts):
+        bag = terms(Words(texts.slice(i, j - i)))
+        once = np.unique(in_row(bag.hash, bag.doc), return_index=True)[1]
+        once = once[bag.hash[once] != 0]
+        row = bag.doc[once] + i
+        each = np.stack([part for y, own in classes for part in (y[row] * own[row], (1 - y[row]) * own[row])], axis=1)
+        hashes, at = np.unique(np.concatenate([hashes, bag.hash[once]]), return_inverse=True)
+        both = np.concatenate([counts, each])
+        counts = np.stack([np.bincount(at, weights=both[:, c], minlength=len(hashes)) for c in range(both.shape[1])], axis=1)
+    return hashes, [(counts[:, 2 * k], counts[:, 2 * k + 1]) for k in range(len(classes))]
 
-    The share keeps out words that tell a class only because a labelled document has many copies.
-    """
-    n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-    once = np.unique(in_row(words.hash, words.doc), return_index=True)[1]
-    vocab, at = np.unique(words.hash[once], return_inverse=True)
-    one = np.bincount(at, weights=y[words.doc[once]], minlength=len(vocab))
-    a, b = one + 1, np.bincount(at, minlength=len(vocab)) - one + 1
-    w = np.log(a / (n1 + 2)) - np.log(b / (n0 + 2))
-    ok = (one >= max(3, least * n1)) & (w / np.sqrt(1 / a + 1 / b) > z)
-    return Lexicon(vocab[ok], w[ok])
+
+def lexicon(hashes: np.ndarray, one: np.ndarray, zero: np.ndarray, n1: int, n0: int, z: float = 4.0, weight: float = 3.0) -> Lexicon:
+    """Terms whose smoothed log-odds for class 1 are at least ``weight`` and ``z`` standard errors above zero; one, zero: rows of either class that have them."""
+    a, b = one + 1, zero + 1
+    w = np.log(a / (max(n1, 1) + 2)) - np.log(b / (max(n0, 1) + 2))
+    ok = (w >= weight) & (w / np.sqrt(1 / a + 1 / b) > z)
+    return Lexicon(hashes[ok], w[ok])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -135,6 +184,13 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) ->
     return w
 
 
+def looks(texts: pa.Array, lexicons: list[Lexicon]) -> np.ndarray:
+    """The features of each row; zeros for a text without words."""
+    words = Words(texts)
+    bag = terms(words)
+    return np.concatenate([shapes(texts, words), *(s.score(bag)[:, None] for s in lexicons)], axis=1)
+
+
 @dataclass
 class Model:
     lexicons: list[Lexicon]
@@ -145,9 +201,8 @@ class Model:
         """Log-likelihood ratio of acceptable to unacceptable; 0 for a text without words."""
         if self.weights is None:
             return np.zeros(len(texts))
-        words = Words(texts)
-        x = np.concatenate([shapes(texts, words), *(s.score(words)[:, None] for s in self.lexicons)], axis=1)
-        return (x @ self.weights[:-1] + self.weights[-1] - np.log(self.prior / (1 - self.prior))) * (words.count() > 0)
+        x = looks(texts, self.lexicons)
+        return (x @ self.weights[:-1] + self.weights[-1] - np.log(self.prior / (1 - self.prior))) * x.any(axis=1)
 
 
 def fit_rows(texts: list[str], quality: list[int], toxic: list[int]) -> Model:
@@ -156,14 +211,12 @@ def fit_rows(texts: list[str], quality: list[int], toxic: list[int]) -> Model:
     if good.all() or not good.any():
         return Model([], None, 0.5)
     arr = pa.array(texts, pa.string())
-    form, parts = [], []
-    for i, j in chunks(arr):
-        words = Words(arr.slice(i, j - i))
-        form.append(shapes(arr.slice(i, j - i), words))
-        parts.append((words.hash, words.count()))
-    words = Bag(np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts]))
-    lexicons = [fit_lexicon(words, t), fit_lexicon(words, 1 - q)]
-    x = np.concatenate([np.concatenate(form), *(s.score(words)[:, None] for s in lexicons)], axis=1)
+    sketch = np.concatenate([copies(Words(arr.slice(i, j - i))) for i, j in chunks(arr)])
+    # a labelled text with many copies would make its own words tell the class: copies count once
+    classes = [(y, without_copies(sketch, y).astype(int)) for y in (t, 1 - q)]
+    hashes, seen = tally(arr, classes)
+    lexicons = [lexicon(hashes, one, zero, int((y * own).sum()), int(((1 - y) * own).sum())) for (y, own), (one, zero) in zip(classes, seen)]
+    x = np.concatenate([looks(arr.slice(i, j - i), lexicons) for i, j in chunks(arr)])
     return Model(lexicons, logistic(x, good.astype(float)), float(good.mean()))
 
 
