@@ -94,7 +94,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 def published(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph with nodes and edges written to the shared folder: loops read them once a level, as they would a published graph."""
-    return Graph(written(nodes(spark, sf_dir)), written(edges(spark, sf_dir)))
+    return Graph(written(nodes(spark, sf_dir).drop("default_display_name", "repository_key", "graph_role")), written(edges(spark, sf_dir).drop("graph_layer", "raw_operation", "properties_json")))
 
 
 def _sql_node(id_: str, kind: str, name: str, qualified: str, package: str, of: str, system: str = "''", database: str = "''", conf: str = "1.0", props: str = "'{}'") -> str:
