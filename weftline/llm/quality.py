@@ -22,6 +22,8 @@ from weftline.llm.common import MULT, Words, chunks, kgrams, maybe_broadcast, mi
 TRAIN_ROWS = 6000
 #: Bytes of a training text above which it isn't drawn: keeps the sample small on the driver.
 TRAIN_BYTES = 1 << 16
+#: Bytes of text that are scored at a time: three terms a word make this the pipeline's largest kernel.
+SCORE_BYTES = 1 << 18
 #: Documents whose posterior of being acceptable is under this are rejected.
 THRESHOLD = 0.5
 #: Groups of a site level that are sent to every executor, at most; beyond that the join shuffles.
@@ -240,7 +242,7 @@ def evidence_udf(spark, model: Model):
     def llr(texts: pa.Array) -> pa.Array:
         if len(texts) == 0:
             return pa.array([], pa.float64())
-        return pa.array(np.concatenate([spread.value.evidence(texts.slice(i, j - i)) for i, j in chunks(texts)]))
+        return pa.array(np.concatenate([spread.value.evidence(texts.slice(i, j - i)) for i, j in chunks(texts, SCORE_BYTES)]))
 
     return llr
 
