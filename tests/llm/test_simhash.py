@@ -84,6 +84,25 @@ def test_pairs_and_groups_match_brute_force(spark, shard):
     assert kept == sorted(expected)
 
 
+@pytest.mark.parametrize("shard", [simhash.SHARD, 8])
+def test_lengths_do_not_separate_near_fingerprints(spark, shard):
+    texts = corpus(40, seed=8)
+    for t in texts[:12]:
+        words = t.split()
+        texts += [" ".join(words[: int(len(words) * 0.8)]), " ".join([*words, *words])]  # cut by a fifth; the text twice
+    fps = [plain_fingerprint(t) for t in texts]
+    root = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    want = {r: [i for i, x in enumerate(root) if x == r] for r in root if root.count(r) > 1}
+    assert all(root[j] == root[i] for i in range(12) for j in [len(texts) - 23 + 2 * i])  # the doubled ones
+    df = fx.docs(spark, *texts, first=0)
+    assert {r["group_id"]: r["doc_ids"] for r in simhash.groups(df, shard=shard).collect()} == want
+    assert {r["doc_id"] for r in simhash.deduplicate(df, shard=shard).collect()} == set(root)
+
+
 def test_large_group_of_copies_and_chain(spark):
     base = corpus(1)[0]
     df = fx.docs(spark, *[base] * 3000, "something else entirely that has words of its own")

@@ -1,15 +1,13 @@
 """Near duplicates: 128-bit SimHash fingerprints, searched exactly with vantage-point trees.
 
-Two documents are near duplicates if their fingerprints differ in at most ``RADIUS`` bits and their
-word counts by a factor of at most ``LENGTH_RATIO``.  Both are distances for which the triangle
-inequality holds (the second on the logarithm), so vantage points bound both:
+Two documents are near duplicates if their fingerprints differ in at most ``RADIUS`` bits; how long
+they are doesn't matter.  The triangle inequality holds for Hamming distance, so vantage points bound it:
 
 * equal fingerprints are collapsed first; only distinct ones are searched;
-* shards are rings of word count around the vantage point "no words", and, in rings with many
-  fingerprints, the sides of fixed vantage points in Hamming space; a fingerprint queries its own
-  shard and each one whose boundary it lies within reach of, so every pair meets in one task;
-* in a task, a vantage-point tree over the shard; subtrees whose distance intervals are further apart
-  than the radius are skipped, what is left is compared bit by bit.
+* shards are the sides of fixed vantage points; a fingerprint queries its own shard and each one whose
+  boundary it lies within reach of, so every pair meets in one task;
+* in a task, a vantage-point tree over the shard; a query goes down the sides that the triangle
+  inequality leaves it, and is compared bit by bit with the leaves it comes to.
 
 A task reports a spanning forest of the pairs it finds, which has the same connected components as
 all its pairs; ``pairs`` reports them all.  The components are the groups.
@@ -29,12 +27,15 @@ from weftline.llm.common import Words, field, maybe_broadcast, mix, over_texts,
 
 #: Bits, of 128, in which fingerprints of near duplicates may differ.
 RADIUS = 26
-#: Word counts of near duplicates differ by this factor at most.
-LENGTH_RATIO = 1.15
-#: Fingerprints that a shard aims at; rings with more are split by vantage points.
+#: Word counts of near duplicates differ by this factor at most: there is no bound.
+LENGTH_RATIO = float("inf")
+#: Fingerprints that a shard aims at; more are split by vantage points.
 SHARD = 16_384
 #: Fingerprints in a leaf of a task's tree.
 LEAF = 256
+#: Queries compared with a leaf at once, and pairs handed on at once: bound a worker's memory, not the result.
+BLOCK = 512
+PAIRS_AT_ONCE = 1 << 20
 _SPREAD = np.zeros(256, np.uint64)
 for _b in range(256):
     _SPREAD[_b] = sum(((_b >> i) & 1) << (8 * i) for i in range(8))
@@ -98,62 +99,62 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
-def vp_tree(fp: np.ndarray, leaf: int = LEAF) -> list[tuple[np.ndarray, list[tuple[int, int, int]]]]:
-    """Leaves of a vantage-point tree: rows, and for each vantage point above them (its row, least, largest distance)."""
-    out: list[tuple[np.ndarray, list[tuple[int, int, int]]]] = []
-    todo: list[tuple[np.ndarray, list[tuple[int, int, int]]]] = [(np.arange(len(fp)), [])]
+def vp_tree(fp: np.ndarray, leaf: int = LEAF) -> tuple:
+    """Nested sides of a vantage-point tree: (rows, None) of a leaf, or (vantage row, sides: least, largest distance, tree)."""
+    root: list = []
+    todo: list[tuple[np.ndarray, list, tuple]] = [(np.arange(len(fp)), root, ())]
     while todo:
-        rows, path = todo.pop()
-        if len(rows) <= leaf:
-            out.append((rows, path))
-            continue
-        v = int(rows[0])
-        d = hamming(fp[rows], fp[v : v + 1])[:, 0].astype(int)
-        if d.max() == d.min():
-            out += [(rows[i : i + leaf], path) for i in range(0, len(rows), leaf)]
+        rows, into, bounds = todo.pop()
+        d = hamming(fp[rows], fp[rows[:1]])[:, 0].astype(int) if len(rows) > leaf else None
+        if d is None or d.max() == d.min():
+            into.append((*bounds, (rows, None)))
             continue
         mu = int(np.median(d))
         inside = d <= mu if mu < d.max() else d < mu
-        for side in (inside, ~inside):
-            todo.append((rows[side], [*path, (v, int(d[side].min()), int(d[side].max()))]))
-    return out
-
-
-def apart(a: list[tuple[int, int, int]], b: list[tuple[int, int, int]], radius: int) -> bool:
-    """Whether the triangle inequality rules out any pair of two leaves: of a shared vantage point, the intervals are too far apart."""
-    of = {v: (lo, hi) for v, lo, hi in a}
-    return any(v in of and (lo > of[v][1] + radius or of[v][0] > hi + radius) for v, lo, hi in b)
-
-
-def shard_pairs(query: tuple[np.ndarray, np.ndarray], data: tuple[np.ndarray, np.ndarray], own: bool, radius: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query row, data row, distance) of all near pairs between two sets of (fingerprints, word counts); if ``own``, of one set, each once."""
-    qf, qn = query
-    df, dn = data
-    both = df if own else np.concatenate([df, qf])
-    tree = vp_tree(both)
-    m = len(df)
-    parts = []
-    for rows, path in tree:
-        d, q = (rows, rows) if own else (rows[rows < m], rows[rows >= m] - m)
-        parts.append((d, q, path))
-    log = np.log(ratio) + 1e-12
-    dl, ql = np.log(dn), np.log(qn)
-    for i, (d, _, pd) in enumerate(parts):
-        if not len(d):
+        sides: list = []
+        into.append((*bounds, (int(rows[0]), sides)))
+        todo += [(rows[side], sides, (int(d[side].min()), int(d[side].max()))) for side in (inside, ~inside)]
+    return root[0][-1]
+
+
+def shard_pairs(query: np.ndarray, data: np.ndarray, own: bool, radius: int, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query row, data row, distance) of all near pairs between two sets of fingerprints; if ``own``, of one set, each once."""
+    halves = lambda fp: [np.ascontiguousarray(fp[:, i]) for i in range(2)]
+    (dh, dl), (qh, ql) = halves(data), halves(query)
+    done = np.zeros(len(query), bool)  # if own: leaves compared with all that is near them
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    count = 0
+    todo = [(vp_tree(data, leaf), np.arange(len(query)))]
+    while todo:
+        (node, sides), q = todo.pop()
+        if sides is not None:
+            d = hamming(query[q], data[node : node + 1])[:, 0].astype(int)
+            todo += [(tree, q[(d >= lo - radius) & (d <= hi + radius)]) for lo, hi, tree in sides]
             continue
-        for j, (_, q, pq) in enumerate(parts):
-            if not len(q) or (own and j < i) or apart(pd, pq, radius):
-                continue
-            near = hamming(df[d], qf[q]) <= radius
-            a, b = np.nonzero(near)
-            a, b = d[a], q[b]
-            ok = np.abs(dl[a] - ql[b]) <= log
+        for rows in (node[i : i + leaf] for i in range(0, len(node), leaf)):
             if own:
-                ok &= (a < b) if i == j else True
-            a, b = a[ok], b[ok]
-            if len(a):
-                dist = np.bitwise_count(df[a] ^ qf[b]).sum(axis=1)
-                yield b, a, dist.astype(np.int64)
+                q = q[~done[q]]
+                done[rows] = True
+            for at in range(0, len(q), BLOCK):
+                part = q[at : at + BLOCK]
+                dist = np.bitwise_count(dh[rows][:, None] ^ qh[part])
+                dist += np.bitwise_count(dl[rows][:, None] ^ ql[part])
+                near = np.flatnonzero(dist <= radius)
+                if not len(near):
+                    continue
+                i, j = np.divmod(near, len(part))
+                a, b = part[j], rows[i]
+                dist = dist.ravel()[near].astype(np.int64)
+                if own:  # of two in this leaf, once
+                    once = ~done[a] | (b < a)
+                    a, b, dist = a[once], b[once], dist[once]
+                held.append((a, b, dist))
+                count += len(a)
+                if count >= PAIRS_AT_ONCE:
+                    yield tuple(np.concatenate(x) for x in zip(*held))
+                    held, count = [], 0
+    if count:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 class Forest:
@@ -188,44 +189,30 @@ class Forest:
                 self.edges.append((i, j, d))
 
 
-def _flip(j: int):
-    return lambda x: x.bitwiseXOR(F.lit(1 << j))
-
-
-def _shards(fps: DataFrame, radius: int, ratio: float, shard: int) -> DataFrame:
-    """hi, lo, n, role (0 data and own queries, 1 queries from elsewhere), ring, cell: what meets in which task."""
-    width = float(2 * np.log(ratio))
-    ln = F.log(F.col("n").cast("double"))
-    ringed = fps.withColumn("ring", F.floor(ln / width).cast("int"))
-    sizes = ringed.groupBy("ring").count()
-    depth = sizes.select("ring", F.when(F.col("count") > shard, F.least(F.lit(len(_VANTAGE)), F.ceil(F.log2(F.col("count") / shard)))).otherwise(0).cast("int").alias("depth"))
-    depths = {r["ring"]: r["depth"] for r in depth.collect()}  # a row per ring: grows with the logarithm of the longest text
-    deepest = max(depths.values(), default=0)
-    lookup = F.create_map(*[F.lit(x) for kv in depths.items() for x in kv]) if depths else F.create_map(F.lit(0), F.lit(0))
-    upper = (F.floor((ln + float(np.log(ratio)) + 1e-9) / width)).cast("int")
-    own = ringed.withColumn("home", F.lit(True))
-    next_ring = ringed.where((upper > F.col("ring")) & upper.isin(list(depths))).withColumn("ring", upper).withColumn("home", F.lit(False))
-    placed = own.unionByName(next_ring).withColumn("depth", F.coalesce(F.try_element_at(lookup, F.col("ring")), F.lit(0)))
-    if not deepest:
-        return placed.select("hi", "lo", "n", "ring", F.lit(0).alias("cell"), F.when(F.col("home"), 0).otherwise(1).alias("role"))
+def _shards(fps: DataFrame, radius: int, shard: int) -> DataFrame:
+    """hi, lo, n, role (0 data and own queries, 1 queries from elsewhere), cell: what meets in which task."""
+    cells = -(-fps.count() // shard)
+    depth = min(len(_VANTAGE), max(0, cells - 1).bit_length())
+    if not depth:
+        return fps.select("hi", "lo", "n", F.lit(0).alias("cell"), F.lit(0).alias("role"))
     half = 64
-    dist = [F.bit_count(F.col("hi").bitwiseXOR(F.lit(int(v.view(np.int64)[0])))) + F.bit_count(F.col("lo").bitwiseXOR(F.lit(int(v.view(np.int64)[1])))) for v in _VANTAGE[:deepest]]
-    code = sum((F.when((F.lit(j) < F.col("depth")) & (d > half), 1 << j).otherwise(0) for j, d in enumerate(dist)), F.lit(0))
-    reach = F.array(F.lit(0))
-    for j, d in enumerate(dist):
-        gap = F.when(d > half, d - half).otherwise(half + 1 - d)  # bits to the other side
-        near = (F.lit(j) < F.col("depth")) & (gap <= radius)
-        reach = F.when(near, F.concat(reach, F.transform(reach, _flip(j)))).otherwise(reach)
-    coded = placed.withColumns({"code": code.cast("int"), "flip": F.explode(reach)}).withColumn("cell", F.col("code").bitwiseXOR(F.col("flip")).cast("int"))
-    # of the two cells of a pair, the one with the larger code holds the data; rings: the upper one
-    keep = coded.where((F.col("flip") == 0) | ~F.col("home") | (F.col("cell") > F.col("code")))
-    return keep.select("hi", "lo", "n", "ring", "cell", F.when(F.col("home") & (F.col("flip") == 0), 0).otherwise(1).alias("role"))
+    dist = [F.bit_count(F.col("hi").bitwiseXOR(F.lit(int(v.view(np.int64)[0])))) + F.bit_count(F.col("lo").bitwiseXOR(F.lit(int(v.view(np.int64)[1])))) for v in _VANTAGE[:depth]]
+    measured = fps.withColumn("d", F.array(*dist))
+    far = [F.col("d")[j] > half for j in range(depth)]
+    code = sum((F.when(f, 1 << j).otherwise(0) for j, f in enumerate(far)), F.lit(0))
+    gaps = [F.when(f, F.col("d")[j] - half).otherwise(half + 1 - F.col("d")[j]) for j, f in enumerate(far)]  # bits to the other side
+    crossed = F.filter(F.array(*[F.when(g <= radius, 1 << j).otherwise(0) for j, g in enumerate(gaps)]), lambda x: x > 0)
+    flips = F.aggregate(crossed, F.array(F.lit(0)), lambda to, bit: F.concat(to, F.transform(to, lambda x: x.bitwiseXOR(bit))))
+    coded = measured.withColumns({"code": code.cast("int"), "flip": F.explode(flips)}).withColumn("cell", F.col("code").bitwiseXOR(F.col("flip")).cast("int"))
+    # of the two cells of a pair, the one with the larger code holds the data
+    keep = coded.where((F.col("flip") == 0) | (F.col("cell") > F.col("code")))
+    return keep.select("hi", "lo", "n", "cell", F.when(F.col("flip") == 0, 0).otherwise(1).alias("role"))
 
 
 _EDGE = "hi_a long, lo_a long, n_a long, hi_b long, lo_b long, n_b long, distance long"
 
 
-def _search(fps: DataFrame, radius: int, ratio: float, shard: int, forest: bool) -> DataFrame:
+def _search(fps: DataFrame, radius: int, shard: int, forest: bool) -> DataFrame:
     ship(fps.sparkSession)
 
     def task(table: pa.Table) -> pa.Table:
@@ -238,7 +225,7 @@ def _search(fps: DataFrame, radius: int, ratio: float, shard: int, forest: bool)
         for own, q in ((True, data), (False, query)):
             if not len(q) or not len(data):
                 continue
-            for a, b, d in shard_pairs((bits[q], n[q]), (bits[data], n[data]), own, radius, ratio):
+            for a, b, d in shard_pairs(bits[q], bits[data], own, radius):
                 a, b = q[a], data[b]
                 if forest:
                     tree.add(a, b, d)
@@ -253,16 +240,17 @@ def _search(fps: DataFrame, radius: int, ratio: float, shard: int, forest: bool)
         cols = {f"{c}_{s}": fp[r, i] if i < 2 else n[r] for s, r in (("a", a), ("b", b)) for i, c in enumerate(("hi", "lo", "n"))}
         return pa.table(cols | {"distance": d})
 
-    return _shards(fps, radius, ratio, shard).groupBy("ring", "cell").applyInArrow(task, _EDGE)
+    return _shards(fps, radius, shard).groupBy("cell").applyInArrow(task, _EDGE)
 
 
-def distinct_fingerprints(table: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return table.groupBy("hi", "lo", "n").agg(F.count("*").alias("rows"), F.min(id_col).alias("least"))
+def distinct_fingerprints(table: DataFrame) -> DataFrame:
+    """Each fingerprint once: hi, lo, n (least of its rows' word counts), rows."""
+    return table.groupBy("hi", "lo").agg(F.min("n").alias("n"), F.count("*").alias("rows"))
 
 
-def pairs(table: DataFrame, radius: int = RADIUS, ratio: float = LENGTH_RATIO, shard: int = SHARD) -> DataFrame:
-    """All near pairs of distinct fingerprints (hi_a, lo_a, n_a, hi_b, lo_b, n_b, distance), each once, of a ``fingerprint_table``."""
-    return _search(table.select("hi", "lo", "n").distinct(), radius, ratio, shard, forest=False)
+def pairs(table: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """All near pairs of distinct fingerprints and word counts (hi_a, lo_a, n_a, hi_b, lo_b, n_b, distance), each once, of a ``fingerprint_table``."""
+    return _search(stored(table.select("hi", "lo", "n").distinct()), radius, shard, forest=False)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -284,18 +272,17 @@ def components(edges: DataFrame) -> DataFrame:
         e = nxt
 
 
-def labelled(table: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, ratio: float = LENGTH_RATIO, shard: int = SHARD) -> DataFrame:
+def labelled(table: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """The rows of a stored ``fingerprint_table`` that are in a group of at least two, with ``root`` naming the group."""
-    node = F.xxhash64("hi", "lo", "n")
-    distinct = stored(distinct_fingerprints(table, id_col).withColumn("node", node))
-    found = _search(distinct.select("hi", "lo", "n"), radius, ratio, shard, forest=True)
-    edges = found.select(F.xxhash64("hi_a", "lo_a", "n_a").alias("a"), F.xxhash64("hi_b", "lo_b", "n_b").alias("b"))
+    distinct = stored(distinct_fingerprints(table).withColumn("node", F.xxhash64("hi", "lo")))
+    found = _search(distinct.select("hi", "lo", "n"), radius, shard, forest=True)
+    edges = found.select(F.xxhash64("hi_a", "lo_a").alias("a"), F.xxhash64("hi_b", "lo_b").alias("b"))
     comp = components(edges)
-    named = distinct.join(comp, "node", "left").where(F.col("root").isNotNull() | (F.col("rows") > 1)).select("hi", "lo", "n", F.coalesce("root", "node").alias("root"))
-    return table.join(named, ["hi", "lo", "n"])
+    named = distinct.join(comp, "node", "left").where(F.col("root").isNotNull() | (F.col("rows") > 1)).select("hi", "lo", F.coalesce("root", "node").alias("root"))
+    return table.join(named, ["hi", "lo"])
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, ratio: float = LENGTH_RATIO, shard: int = SHARD) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """One row per group of near duplicates: group_id (least id), doc_ids (ascending), n_rows.
 
     Null texts and texts without words are in no group.  Repeated rows are exact copies: their id is
@@ -303,18 +290,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     n_rows only.  Groups are connected components: two members may be further apart than the radius.
     """
     table = stored(fingerprint_table(docs, id_col, text_col))
-    rows = labelled(table, id_col, radius, ratio, shard)
+    rows = labelled(table, id_col, radius, shard)
     return rows.groupBy("root").agg(F.min(id_col).alias("group_id"), F.array_sort(F.collect_set(id_col)).alias("doc_ids"), F.count("*").alias("n_rows")).drop("root")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, ratio: float = LENGTH_RATIO, shard: int = SHARD) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """``docs`` with one row of each group: the one of least id (nulls last, then by hash of the text).
 
     Rows without words stay, repeated ones too: they have no fingerprint.  Of repeated rows of a group's
     kept document one stays.
     """
     table = stored(fingerprint_table(docs, id_col, text_col))
-    rows = labelled(table, id_col, radius, ratio, shard)
+    rows = labelled(table, id_col, radius, shard)
     dup = stored(rows.groupBy("root", F.col(id_col).alias("__wl_id"), "__wl_key").agg(F.count("*").alias("copies")))
     best = dup.groupBy("root").agg(F.min(F.struct(F.col("__wl_id").isNull().alias("x"), F.col("__wl_id").alias("i"), F.col("__wl_key").alias("k"), F.col("copies"))).alias("best"))
     keepers = best.select("root", F.col("best.i").alias("__wl_id"), F.col("best.k").alias("__wl_key"), F.col("best.copies").alias("copies"))
