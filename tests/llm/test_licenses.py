@@ -81,6 +81,30 @@ def test_planted_templates(spark):
     assert not any(d >= len(want) for d, _ in got)
 
 
+def test_stretches_equal_plain_python():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        a, b = rng.integers(0, 6, rng.integers(0, 25)), rng.integers(0, 6, rng.integers(1, 9))
+        need, most = max(1, len(b) // 2), int(1.3 * len(b) + 1)
+        best = {(i, j): plain_lcs(list(a[i:j]), list(b)) for i in range(len(a)) for j in range(i, min(len(a), i + most) + 1)}
+        want = {(g, i, j) for (i, j), g in best.items() if j > i and a[i] in b and g >= need and g > best[i, j - 1]}
+        got = li.stretches(a, b, need, most)
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_cut_notice_before_words_of_the_same_template(spark):
+    words = max((t for n, t in li.TEMPLATES if n == "MIT"), key=lambda t: len(t.split())).split()
+    n = len(li.hash_words(text(words)))
+    cut = words[:-5]
+    docs = [text(cut + ["filler"] * 3 + words[-5:] + ["filler"] * 12 + words[-5:]), text(cut + words), text(fx.PROSE.split() + cut + words[-9:] * 5)]
+    got = {(r["doc_id"], r["start"], r["end"]) for r in li.scan(fx.docs(spark, *docs, first=0), templates=[("MIT", text(words))]).collect()}
+    assert {d for d, _, _ in got} == {0, 1, 2}
+    assert {(1, 0, n - 5), (1, n - 5, 2 * n - 5)} <= got
+    # the missing words come again too far on for one stretch: what is there stays a match
+    far = cut + ["filler"] * n + words[-5:]
+    assert [(r["start"], r["end"]) for r in li.scan(fx.docs(spark, text(far)), templates=[("MIT", text(words))]).collect()] == [(0, n - 5)]
+
+
 def test_awkward_rows(spark):
     mit = "Released under the MIT License"
     df = fx.awkward(spark).unionByName(fx.docs(spark, f"{mit}. {fx.PROSE} {mit}", first=70)).unionByName(fx.docs(spark, *[mit] * 1, first=71)).unionByName(fx.docs(spark, mit, first=71))

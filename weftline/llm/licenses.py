@@ -129,8 +129,35 @@ def aligned(span: np.ndarray, template: np.ndarray) -> tuple[int, int, int]:
     return got, end - back, end
 
 
+def stretches(words: np.ndarray, template: np.ndarray, need: int, most: int, rows: int = 4096) -> list[tuple[int, int, int]]:
+    """(matched words, begin, end) of stretches of at most ``most`` words that have at least ``need`` words of ``template`` in order.
+
+    Of each begin, the first end of every number of matched words.  A stretch begins and ends with a matched word.
+    """
+    member = np.isin(words, template)
+    total = np.concatenate([[0], np.cumsum(member)])
+    at = np.flatnonzero(member)
+    at = at[total[np.minimum(at + most, len(words))] - total[at] >= need]
+    out: list[tuple[int, int, int]] = []
+    for i in range(0, len(at), rows):
+        begin = at[i : i + rows]
+        best = np.zeros((len(begin), len(template) + 1), np.int32)
+        for j in range(most):
+            live = begin + j < len(words)
+            same = (words[np.minimum(begin + j, len(words) - 1)][:, None] == template) & live[:, None]
+            had = best[:, -1].copy()
+            row = np.maximum(np.where(same, best[:, :-1] + 1, 0), best[:, 1:])
+            np.maximum.accumulate(row, axis=1, out=best[:, 1:])
+            more = np.flatnonzero((best[:, -1] > had) & (best[:, -1] >= need))
+            out += zip(best[more, -1].tolist(), begin[more].tolist(), (begin[more] + j + 1).tolist())
+    return out
+
+
 def verify(found: DataFrame, docs: DataFrame, templates: list[tuple[str, str]], id_col: str, text_col: str, k: int = K, coverage: float = COVERAGE, slack: float = SLACK) -> DataFrame:
-    """Spans that hold, word by word, at least ``coverage`` of their template; the words come from the documents again."""
+    """Spans that hold, word by word, at least ``coverage`` of their template, in a stretch of at most ``slack`` words for each word of it and one.
+
+    Every such stretch at a span competes; the words come from the documents again.
+    """
     names = [n for n, _ in templates]
     hashes = template_words(templates)
     schema = T.StructType([field(docs, id_col), T.StructField("license", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("template", "start", "end", "votes")), T.StructField("coverage", T.DoubleType())])
@@ -146,22 +173,17 @@ def verify(found: DataFrame, docs: DataFrame, templates: list[tuple[str, str]],
             own = words.hash[words.first[r] : words.first[r + 1]]
             for s in asked:
                 t, n = s["template"], len(hashes[s["template"]])
-                # a span over several copies of a template is cut into windows of its length and slack
-                step = max(1, int(n * slack))
-                at = max(0, s["lo"] - n)
-                stop = min(len(own), s["hi"] + k + n)
-                while at < stop:
-                    got, first, last = aligned(own[at : at + 2 * step], hashes[t])
-                    if got >= coverage * n and last - first <= slack * n + 1:
-                        here.append((-got, -round(got / n, 6), t, at + first, at + last, s["votes"]))
-                        at += last
-                    else:
-                        at += step
+                need, most = max(1, int(np.ceil(coverage * n - 1e-9))), int(slack * n + 1)
+                at = max(0, s["lo"] - most)
+                for got, first, last in stretches(own[at : s["hi"] + k + most], hashes[t], need, most):
+                    here.append((-got, -round(got / n, 6), t, last - first, at + first, at + last, s["votes"]))
             kept: list[tuple] = []
+            taken = np.zeros(len(own), bool)
             for x in sorted(set(here)):
-                if all(x[4] <= y[3] or y[4] <= x[3] for y in kept):
+                if not taken[x[4] : x[5]].any():
+                    taken[x[4] : x[5]] = True
                     kept.append(x)
-            rows += [(r, names[t], t, first, last, votes, -share) for _, share, t, first, last, votes in sorted(kept, key=lambda x: x[3])]
+            rows += [(r, names[t], t, first, last, votes, -share) for _, share, t, _, first, last, votes in sorted(kept, key=lambda x: x[4])]
         if not rows:
             return None
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in rows])), pa.array([x[1] for x in rows], pa.string()), *(pa.array([int(x[c]) for x in rows], pa.int32()) for c in (2, 3, 4, 5)), pa.array([x[6] for x in rows], pa.float64())], names=schema.names)
@@ -173,7 +195,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
     """A row per license span: id, license, template (its number), start and end (words, from 0), votes, coverage.
 
     A template may be found several times.  Of spans that overlap, the one with the most matched words stays,
-    then the one of more coverage, then the template listed first.  Null and empty texts have none; so has a text or template of fewer than
+    then the one of more coverage, then the template listed first, then the shortest.  Null and empty texts have none; so has a text or template of fewer than
     ``k`` words.  Repeated rows of one id and text are reported once per row, with votes counted once.
     """
     spark = docs.sparkSession
