@@ -76,6 +76,24 @@ def test_held_out_credentials_are_found_and_prose_is_not(grammar):
     assert len(ss.findings(grammar, pa.array(plain))[0]) / len(plain) < 0.01
 
 
+def test_edges_and_joined_credentials(grammar):
+    """Values whose own ends are separators, and values joined to other run characters, are found whole."""
+    secrets = [(v, n) for v, n in ss.labelled_credentials(seed=21, each=400) if v[0] in "-.+/=_" or v[-1] in "-.+/=_"]
+    assert len(secrets) > 20
+    text = [f"token: {v}\n" for v, _ in secrets]
+    row, start, end, _, _ = ss.findings(grammar, pa.array(text))
+    whole = {int(r) for r, s, e in zip(row, start, end) if text[r][s:e] == secrets[r][0]}
+    assert len(whole) / len(secrets) > 0.95
+    fixed = [(v, n) for v, n in ss.labelled_credentials(seed=22, each=5) if n in ("code_host_token", "cloud_access_key", "package_token", "payment_key", "hex_64")]
+    for before, after in (("https://host.example/path/", ""), ("build-", "-linux"), ("my_", ".txt"), ("a/", "/b/c"), ("==", "==")):
+        text = [f"see {before}{v}{after} there" for v, _ in fixed]
+        row, start, end, fmt, _ = ss.findings(grammar, pa.array(text))
+        assert [(text[r][s:e], grammar.automata[f].name) for r, s, e, f in zip(row, start, end, fmt)] == fixed
+    two = "/".join(v for v, n in fixed if n == "code_host_token")
+    row, start, end, _, _ = ss.findings(grammar, pa.array([two]))
+    assert "/".join(two[s:e] for s, e in zip(start, end)) == two and len(row) == 5
+
+
 def test_states_merge():
     a = ss.infer("t", ["AB" + str(i).zfill(6) for i in range(0, 999_999, 2501)])
     assert len(a.stop) == 9  # a chain: fixed letters and six merged digit states

@@ -3,14 +3,16 @@
 Labelled credentials of each format make a prefix tree.  States of one depth whose next characters
 are statistically compatible (Hoeffding's bound on every class of characters and on stopping) are
 merged, which folds the tree into a small probabilistic automaton that still knows where a format's
-fixed text, separators and ends are.  Every candidate in every document, that is every run of at least
-``LEAST`` characters that credentials are made of, is scored: the log-likelihood under each format's
-automaton against that under a model of ordinary runs.
+fixed text, separators and ends are.  In every document, every run of at least ``LEAST`` characters that
+credentials are made of is looked at, whole and from and to each of its separators; what an automaton
+accepts is scored: the log-likelihood under each format's automaton against that under a model of
+ordinary runs.  Of acceptances that overlap, the best stays.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import json
 import random
 import string
@@ -36,6 +38,9 @@ CANDIDATE = np.zeros(256, bool)
 CANDIDATE[[ord(c) for c in string.ascii_letters + string.digits + "_-.+/="]] = True
 #: Characters cut off both ends of a run: punctuation of the sentence around it.
 TRIM = b"-.+/="
+#: Characters that may join a credential to what is before or after it in a run.
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[list(b"_-.+/=")] = True
 
 _HEX, _UPPER36, _ALNUM = "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits
 _URL64 = _ALNUM + "-_"
@@ -189,6 +194,33 @@ class Grammar:
     automata: list[Automaton]
     pair: np.ndarray  # ordinary runs: log-probability of a character by the one before (0: none)
 
+    def accepted(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end, each pair once, of every span that an automaton accepts, ends at a run's end or before a separator,
+        and begins at a run's start or after a separator; ``start``, ``end``: the runs."""
+        mark = np.zeros(len(buf) + 1, np.int64)
+        mark[start] += 1
+        mark[end] -= 1
+        inside = np.flatnonzero(SEPARATOR[buf] & (np.cumsum(mark[:-1]) > 0)) + 1
+        begin = np.union1d(start, inside)
+        stop = end[np.searchsorted(start, begin, side="right") - 1]  # of the run
+        long = stop - begin >= LEAST
+        begin, stop = begin[long], stop[long]
+        found: list[np.ndarray] = []
+        for a in self.automata:
+            live, state, t = np.arange(len(begin)), np.zeros(len(begin), np.int64), 0
+            while len(live):
+                at = begin[live] + t
+                over = at == stop[live]
+                ends = (over | SEPARATOR[buf[np.minimum(at, len(buf) - 1)]]) & np.isfinite(a.stop[state])
+                if t >= LEAST and ends.any():
+                    found.append(np.stack([begin[live[ends]], at[ends]], 1))
+                live, state, at = live[~over], state[~over], at[~over]
+                state = a.next[state, buf[at]].astype(np.int64)
+                live, state = live[state >= 0], state[state >= 0]
+                t += 1
+        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return both[:, 0], both[:, 1]
+
     def score(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each span: the best format (-1: no automaton accepts it) and its log-likelihood over ordinary text's."""
         n = len(start)
@@ -240,11 +272,10 @@ def fit(credentials: list[tuple[str, str]] | None = None, ordinary: list[str] |
     return Grammar([infer(n, v, alpha) for n, v in sorted(by.items())], np.log(count / total))
 
 
-def candidates(buf: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every run of candidate characters, ends trimmed, of at least ``least`` of them."""
+def runs(buf: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of at least ``least`` candidate characters."""
     if not len(buf):
-        z = np.zeros(0, np.int64)
-        return z, z, z
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ok = CANDIDATE[buf]
     cut = np.zeros(len(buf) + 1, bool)
     cut[off] = True
@@ -260,7 +291,14 @@ def candidates(buf: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np
     stop[:-1] &= ~ok[1:] | cut[1:-1]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     long = end - start >= least
-    start, end = start[long], end[long]
+    return start[long], end[long]
+
+
+def candidates(buf: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of candidate characters, ends trimmed, of at least ``least`` of them."""
+    start, end = runs(buf, off, least)
+    if not len(start):
+        return start, end, start
     trim = np.zeros(256, bool)
     trim[list(TRIM)] = True
     while True:
@@ -283,10 +321,23 @@ def candidates(buf: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np
 def findings(grammar: Grammar, texts: pa.Array) -> tuple[np.ndarray, ...]:
     """row, start and end (bytes in the row's text), format, score of every secret in a batch, in order."""
     buf, off = raw_bytes(texts, lower=False)
-    start, end, row = candidates(buf, off)
+    start, end = grammar.accepted(buf, *runs(buf, off))
     best, score = grammar.score(buf, start, end)
-    hit = (best >= 0) & (score >= MARGIN) & (score >= MARGIN_EACH * (end - start))
-    return row[hit], (start - off[row])[hit], (end - off[row])[hit], best[hit], score[hit]
+    hit = np.flatnonzero((best >= 0) & (score >= MARGIN) & (score >= MARGIN_EACH * (end - start)))
+    kept: list[int] = []
+    begins: list[int] = []  # of the kept, ascending
+    upto: dict[int, int] = {}
+    for k in hit[np.lexsort((start[hit], -score[hit]))].tolist():  # the best first
+        s, e = int(start[k]), int(end[k])
+        i = bisect.bisect_right(begins, s)
+        if (i == 0 or upto[begins[i - 1]] <= s) and (i == len(begins) or begins[i] >= e):
+            begins.insert(i, s)
+            upto[s] = e
+            kept.append(k)
+    at = np.sort(np.array(kept, np.int64))
+    start, end = start[at], end[at]
+    row = np.searchsorted(off, start, side="right") - 1
+    return row, start - off[row], end - off[row], best[at], score[at]
 
 
 def scan(docs: DataFrame, grammar: Grammar | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
