@@ -118,3 +118,9 @@ def test_awkward_rows(spark):
     assert ids.count(4) == 0 and ids.count(1) == 1  # copies of 1
     assert {2, 3, 5, 6} <= set(ids)  # no words: no fingerprint, so they stay
     assert simhash.groups(fx.empty(spark)).count() == 0 and simhash.deduplicate(fx.empty(spark)).count() == 0
+
+
+def test_copies_without_words_are_a_group(spark):
+    df = fx.docs(spark, "*** --- ***", "some words", "*** --- ***", "*** --- **", "", "", None, None)
+    assert [(r["group_id"], r["doc_ids"], r["n_rows"]) for r in simhash.groups(df).collect()] == [(1, [1, 3], 2)]
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(df).collect()) == [1, 2, 4, 5, 6, 7, 8]

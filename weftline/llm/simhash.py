@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,16 +79,21 @@ def fingerprints(words: Words) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, __wl_key (hash of the text), hi, lo, n (words) of each row with words; one pass, no shuffle."""
+    """id, __wl_key (hash of the text), hi, lo, n (words) of each row whose text isn't empty; one pass, no shuffle."""
     ship(docs.sparkSession)
     keyed = texts_of(docs, id_col, text_col).withColumn("__wl_key", F.xxhash64(text_col))
     schema = T.StructType([field(docs, id_col), *(T.StructField(c, T.LongType()) for c in ("__wl_key", "hi", "lo", "n"))])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(batch.column(1))
-        fp, n = fingerprints(words).view(np.int64), words.count()
+        fp, n = fingerprints(words), words.count()
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        bare = (n == 0) & (size > 0)  # no words: the hash of the text, so that exact copies are equal
+        key = batch.column(2).to_numpy(zero_copy_only=False)[bare].view(np.uint64)
+        fp[bare] = np.stack([mix(key), mix(key ^ np.uint64(0xD6E8FEB86659FD93))], axis=1)
+        fp = fp.view(np.int64)
         out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(n.astype(np.int64))], names=schema.names)
-        return out.filter(pa.array(n > 0))
+        return out.filter(pa.array(size > 0))
 
     return keyed.mapInArrow(over_texts(work), schema)
 
@@ -285,7 +291,7 @@ def labelled(table: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, sha
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """One row per group of near duplicates: group_id (least id), doc_ids (ascending), n_rows.
 
-    Null texts and texts without words are in no group.  Repeated rows are exact copies: their id is
+    Null and empty texts are in no group; texts without words are only with exact copies.  Repeated rows are exact copies: their id is
     listed once, n_rows counts them; a group of one id may thus have several rows.  Null ids count in
     n_rows only.  Groups are connected components: two members may be further apart than the radius.
     """
@@ -297,7 +303,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """``docs`` with one row of each group: the one of least id (nulls last, then by hash of the text).
 
-    Rows without words stay, repeated ones too: they have no fingerprint.  Of repeated rows of a group's
+    Rows with null or empty texts stay, repeated ones too: they have no fingerprint.  Of repeated rows of a group's
     kept document one stays.
     """
     table = stored(fingerprint_table(docs, id_col, text_col))
