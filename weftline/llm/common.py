@@ -7,8 +7,10 @@ once, so that no operator runs a Python statement per character or per word.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy pass takes at a time: bounds a worker's memory, not the result.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes of a long text, or of its words, that intermediate arrays cover at a time: likewise.
+PIECE = 1 << 18
 #: Rows of text that one numpy pass takes at a time.
 CHUNK_ROWS = 1024
 
@@ -33,7 +37,13 @@ WORD_BYTE[128:] = True
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it isn't installed (on a cluster: --py-files)."""
+    """Lets Python workers import this package where it isn't installed (on a cluster: --py-files), and has rows come to them in small batches.
+
+    The batch settings are the session's, so one that set them itself keeps them.
+    """
+    for name, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1024"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))):
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, ours)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -41,7 +51,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; unset, one of our own in local mode and an error on a cluster."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
@@ -49,6 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(where)
         return where
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
     return sc.getCheckpointDir()
 
@@ -59,6 +71,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: computed once, and columns that aren't asked for aren't read again."""
+    at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def small(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has at most ``most`` rows; counts no further than that."""
     return df.limit(most + 1).count() <= most
@@ -120,17 +139,19 @@ class Words:
             self.hash = np.zeros(0, np.uint64)
             self.first = np.zeros(rows + 1, np.int64)
             return
-        is_word = WORD_BYTE[self.buf]
+        is_word = np.zeros(n + 1, bool)
+        is_word[:n] = WORD_BYTE[self.buf]
         begins = np.zeros(n + 1, bool)
-        begins[0] = True
-        begins[self.off[:-1]] = True
-        begins = begins[:n]
-        start = is_word.copy()
-        start[1:] &= ~is_word[:-1] | begins[1:]
-        end = is_word.copy()
-        end[:-1] &= ~is_word[1:] | begins[1:]
-        self.start = np.flatnonzero(start)
-        self.end = np.flatnonzero(end) + 1
+        begins[self.off] = True
+        edges = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, n, PIECE):
+            j = min(i + PIECE, n)
+            here, cut = is_word[i:j], begins[i:j]
+            before = is_word[i - 1 : j - 1] if i else np.concatenate([[False], is_word[: j - 1]])
+            edges[0].append(np.flatnonzero(here & (~before | cut)) + i)
+            edges[1].append(np.flatnonzero(here & (~is_word[i + 1 : j + 1] | begins[i + 1 : j + 1])) + (i + 1))
+        self.start, self.end = (np.concatenate(x) for x in edges)
+        del is_word, begins, edges
         self.first = np.searchsorted(self.start, self.off)
         self.doc = np.repeat(np.arange(rows), np.diff(self.first))
         self.hash = span_hash(self.buf, self.start, self.end)
@@ -156,6 +177,15 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
+def released() -> None:
+    """Gives what a task's arrays took back to the system: idle workers keep little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the result depends on every bit given."""
     h = h ^ (h >> np.uint64(33))
@@ -166,16 +196,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _long_hash(span: np.ndarray) -> np.uint64:
+    """The sum that ``span_hash`` mixes, of one span, piece by piece."""
+    total, scale = 0, 1
+    for i in range(0, len(span), PIECE):
+        part = span[i : i + PIECE]
+        total += scale * int((BYTE_CODE[part] * powers(len(part))).sum(dtype=np.uint64))
+        scale = scale * pow(int(MULT), len(part), 1 << 64) % (1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
 def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each non-empty, ascending, disjoint span of ``buf``."""
+    """64-bit hash of each non-empty, ascending, disjoint span of ``buf``; what it needs besides the result is bounded."""
     if not len(start):
         return np.zeros(0, np.uint64)
     length = end - start
     total = np.cumsum(length)
-    at = np.arange(total[-1]) - np.repeat(total - length, length)
-    code = BYTE_CODE[buf[np.repeat(start, length) + at]]
-    code *= powers(int(length.max()))[at]
-    return mix(np.add.reduceat(code, total - length) + length.astype(np.uint64))
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        before = total[i] - length[i]
+        j = max(int(np.searchsorted(total, before + PIECE, side="right")), i + 1)
+        if length[i] > PIECE:
+            out[i] = _long_hash(buf[start[i] : end[i]])
+        else:
+            size = length[i:j].astype(np.int32)
+            first = (total[i:j] - length[i:j] - before).astype(np.int32)
+            at = np.arange(total[j - 1] - before, dtype=np.int32)
+            at -= np.repeat(first, size)
+            code = BYTE_CODE[buf[np.repeat(start[i:j], size) + at]]
+            code *= powers(int(size.max()))[at]
+            out[i:j] = np.add.reduceat(code, first)
+        i = j
+    out += length.astype(np.uint64)
+    return mix(out)
 
 
 def kgrams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,5 +266,8 @@ def over_texts(
                 out = work(batch.slice(i, j - i))
                 if out is not None and out.num_rows:
                     yield out
+                del out
+            del batch
+        released()
 
     return run
