@@ -8,9 +8,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import fixtures as fx
-from weftline.llm import quality
+from weftline.llm import quality, queries
 from weftline.llm.common import Words
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -102,6 +103,40 @@ def test_held_out_accuracy(spark):
     assert right / len(got) > 0.9, right / len(got)
 
 
+def test_fit_equals_the_fit_of_the_same_rows_on_the_driver(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    lab: dict[int, list[int]] = {}
+    for r in labels.collect():
+        q, t = lab.get(r["doc_id"], (1, 0))
+        lab[r["doc_id"]] = [min(q, r["quality"]), max(t, r["toxic"])]
+    ids = sorted((i for i in lab if text.get(i)), key=str)
+    want = quality.fit_rows([text[i] for i in ids], [lab[i][0] for i in ids], [lab[i][1] for i in ids])
+    got = quality.fit(docs, labels)
+    assert got.prior == want.prior and np.allclose(got.weights, want.weights, atol=1e-6)
+    for a, b in zip(got.lexicons, want.lexicons, strict=True):
+        assert (a.hashes == b.hashes).all() and np.allclose(a.weights, b.weights)
+    assert any(len(a.hashes) for a in got.lexicons)
+    # and the registered query gives each document this model's evidence
+    rows = {r["doc_id"]: r["evidence"] for r in queries.op5_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
+    for i, x in text.items():
+        assert rows[i] == pytest.approx(float(want.evidence(pa.array([x]))[0]), abs=1e-4)
+
+
+def test_a_long_text_is_scored_whole():
+    lex = quality.Lexicon(np.sort(Words(pa.array(["rare"])).hash), np.array([2.0]))
+    text = "a common word " * 300_000
+    x = quality.looks(pa.array([text + "rare rare", "rare", None, ""]), [lex])
+    assert x[0, -1] == pytest.approx(np.log1p(4)) and x[1, -1] == pytest.approx(np.log1p(2)) and not x[2:].any()
+    assert x[0, 7] == pytest.approx(np.log(900_002))
+
+
+def test_a_labelled_text_with_very_many_copies_is_drawn_once(spark):
+    docs = fx.docs(spark, *["same text here"] * 50).withColumn("doc_id", F.lit(1).cast("long"))
+    sample = quality.training_sample(docs, spark.createDataFrame([(1, 1, 0)], LABELS)).collect()
+    assert [(r["id"], r["text"]) for r in sample] == [(1, "same text here")]
+
+
 def test_posterior_is_evidence_plus_site(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.report(docs, labels).collect()

@@ -15,15 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.llm.common import MULT, Words, chunks, kgrams, maybe_broadcast, mix, raw_bytes, segment_sum, ship, span_hash, stored
+from weftline.llm.common import MULT, PIECE, Words, chunks, kgrams, maybe_broadcast, mix, over_texts, raw_bytes, released, segment_sum, ship, span_hash, stored, written
 
-#: Labelled rows that the document model is fitted on, at most: a bound of the training sample.
+#: Labelled rows that the document model is fitted on, about: a bound of the training sample. Their texts are taken whole.
 TRAIN_ROWS = 6000
-#: Bytes of a training text above which it isn't drawn: keeps the sample small on the driver.
-TRAIN_BYTES = 1 << 16
-#: Bytes of text that are scored at a time: three terms a word make this the pipeline's largest kernel.
-SCORE_BYTES = 1 << 18
+#: Log-odds of a lexicon's terms, at least, and standard errors by which they must exceed zero.
+WEIGHT, Z = 3.0, 4.0
+#: Words whose terms are scored at a time: bounds a worker's memory, not the result.
+SCORE_WORDS = 1 << 15
 #: Documents whose posterior of being acceptable is under this are rejected.
 THRESHOLD = 0.5
 #: Groups of a site level that are sent to every executor, at most; beyond that the join shuffles.
@@ -46,9 +47,12 @@ def shapes(texts: pa.Array, words: Words) -> np.ndarray:
     size = np.maximum(np.diff(off), 1)
     n = np.maximum(words.count(), 1)
 
-    def share(mask: np.ndarray, of: np.ndarray = size) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask[buf])])
-        return (total[off[1:]] - total[off[:-1]]) / of
+    def share(mask: np.ndarray) -> np.ndarray:
+        out = np.zeros(rows, np.int64)
+        for i in range(0, len(buf), PIECE):
+            total = np.concatenate([[0], np.cumsum(mask[buf[i : i + PIECE]])])
+            out += np.diff(total[np.clip(off - i, 0, len(total) - 1)])
+        return out / size
 
     upper, lower = share(_UPPER), share(_LOWER)
     again = np.zeros(len(words) + 1)
@@ -86,16 +90,18 @@ class Bag:
         return len(self.hash)
 
 
-def terms(words: Words) -> Bag:
-    """Each word and its beginnings, in order; 0 in place of a beginning that is the whole word."""
-    cols = [words.hash]
-    size = words.end - words.start
+def terms(words: Words, at: int = 0, upto: int | None = None) -> Bag:
+    """Each word and its beginnings, in order, of the words from ``at`` to ``upto``; 0 in place of a beginning that is the whole word."""
+    upto = len(words) if upto is None else upto
+    own, start = words.hash[at:upto], words.start[at:upto]
+    cols = [own]
+    size = words.end[at:upto] - start
     for k in STEMS:
         long = np.flatnonzero(size > k)
-        h = np.zeros(len(words), np.uint64)
-        h[long] = mix(span_hash(words.buf, words.start[long], words.start[long] + k) ^ np.uint64(k))
+        h = np.zeros(len(own), np.uint64)
+        h[long] = mix(span_hash(words.buf, start[long], start[long] + k) ^ np.uint64(k))
         cols.append(h)
-    return Bag(np.stack(cols, axis=1).ravel(), words.count() * len(cols))
+    return Bag(np.stack(cols, axis=1).ravel(), np.diff(np.clip(words.first, at, upto)) * len(cols))
 
 
 def copies(words: Words) -> np.ndarray:
@@ -129,17 +135,16 @@ class Lexicon:
     hashes: np.ndarray
     weights: np.ndarray
 
-    def score(self, words: Bag) -> np.ndarray:
-        """Per row: log1p of the sum of its terms' weights, those that speak for the class."""
-        out = np.zeros(len(words))
-        if len(self.hashes) and len(words):
-            sieve = np.zeros(1 << 16, bool)
-            sieve[self.hashes & np.uint64(0xFFFF)] = True
-            may = np.flatnonzero(sieve[words.hash & np.uint64(0xFFFF)])
-            at = np.minimum(np.searchsorted(self.hashes, words.hash[may]), len(self.hashes) - 1)
-            hit = self.hashes[at] == words.hash[may]
-            out[may[hit]] = self.weights[at[hit]]
-        return np.log1p(segment_sum(out, words.first))
+    def add(self, bag: Bag, to: np.ndarray) -> None:
+        """Adds the weights of the terms that speak for the class to each row's sum."""
+        if not len(self.hashes) or not len(bag):
+            return
+        sieve = np.zeros(1 << 16, bool)
+        sieve[self.hashes & np.uint64(0xFFFF)] = True
+        may = np.flatnonzero(sieve[bag.hash & np.uint64(0xFFFF)])
+        at = np.minimum(np.searchsorted(self.hashes, bag.hash[may]), len(self.hashes) - 1)
+        hit = self.hashes[at] == bag.hash[may]
+        to += np.bincount(bag.doc[may[hit]], weights=self.weights[at[hit]], minlength=len(to))
 
 
 def in_row(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -163,7 +168,7 @@ def tally(texts: pa.Array, classes: list[tuple[np.ndarray, np.ndarray]]) -> tupl
     return hashes, [(counts[:, 2 * k], counts[:, 2 * k + 1]) for k in range(len(classes))]
 
 
-def lexicon(hashes: np.ndarray, one: np.ndarray, zero: np.ndarray, n1: int, n0: int, z: float = 4.0, weight: float = 3.0) -> Lexicon:
+def lexicon(hashes: np.ndarray, one: np.ndarray, zero: np.ndarray, n1: int, n0: int, z: float = Z, weight: float = WEIGHT) -> Lexicon:
     """Terms whose smoothed log-odds for class 1 are at least ``weight`` and ``z`` standard errors above zero; one, zero: rows of either class that have them."""
     a, b = one + 1, zero + 1
     w = np.log(a / (max(n1, 1) + 2)) - np.log(b / (max(n0, 1) + 2))
@@ -189,8 +194,12 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) ->
 def looks(texts: pa.Array, lexicons: list[Lexicon]) -> np.ndarray:
     """The features of each row; zeros for a text without words."""
     words = Words(texts)
-    bag = terms(words)
-    return np.concatenate([shapes(texts, words), *(s.score(bag)[:, None] for s in lexicons)], axis=1)
+    sums = np.zeros((len(lexicons), len(texts)))
+    for i in range(0, len(words), SCORE_WORDS):
+        bag = terms(words, i, min(i + SCORE_WORDS, len(words)))
+        for lex, to in zip(lexicons, sums):
+            lex.add(bag, to)
+    return np.concatenate([shapes(texts, words), np.log1p(sums).T], axis=1)
 
 
 @dataclass
@@ -207,30 +216,87 @@ class Model:
         return (x @ self.weights[:-1] + self.weights[-1] - np.log(self.prior / (1 - self.prior))) * x.any(axis=1)
 
 
+def _sketches(texts: pa.Array) -> np.ndarray:
+    return np.concatenate([np.zeros((0, 3), np.uint64), *(copies(Words(texts.slice(i, j - i))) for i, j in chunks(texts))])
+
+
+def _features(texts: pa.Array, lexicons: list[Lexicon]) -> np.ndarray:
+    return np.concatenate([looks(texts.slice(i, j - i), lexicons) for i, j in chunks(texts)])
+
+
+def _counting(q: np.ndarray, t: np.ndarray, sketch: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of either lexicon, toxic and poor: the class of each row, and whether the row counts. A labelled text with many copies would make its own words tell the class: copies count once."""
+    return [(y, without_copies(sketch, y).astype(int)) for y in (t, 1 - q)]
+
+
 def fit_rows(texts: list[str], quality: list[int], toxic: list[int]) -> Model:
+    """The model of some rows, on the driver."""
     q, t = np.array(quality, int), np.array(toxic, int)
     good = (q == 1) & (t == 0)
     if good.all() or not good.any():
         return Model([], None, 0.5)
     arr = pa.array(texts, pa.string())
-    sketch = np.concatenate([copies(Words(arr.slice(i, j - i))) for i, j in chunks(arr)])
-    # a labelled text with many copies would make its own words tell the class: copies count once
-    classes = [(y, without_copies(sketch, y).astype(int)) for y in (t, 1 - q)]
+    classes = _counting(q, t, _sketches(arr))
     hashes, seen = tally(arr, classes)
     lexicons = [lexicon(hashes, one, zero, int((y * own).sum()), int(((1 - y) * own).sum())) for (y, own), (one, zero) in zip(classes, seen)]
-    x = np.concatenate([looks(arr.slice(i, j - i), lexicons) for i, j in chunks(arr)])
-    return Model(lexicons, logistic(x, good.astype(float)), float(good.mean()))
+    return Model(lexicons, logistic(_features(arr, lexicons), good.astype(float)), float(good.mean()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    """The document model from about ``rows`` labelled rows, drawn by hash of the id. Contradictory labels: the worse one holds."""
-    lab = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("q"), F.coalesce(F.max("toxic"), F.lit(0)).alias("t"))
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
+    """id, text, q, t of about ``rows`` labelled rows, drawn by hash of the id; of rows of one id, the least text. Contradictory labels: the worse one holds."""
+    lab = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").cast("int").alias("q"), F.coalesce(F.max("toxic"), F.lit(0)).cast("int").alias("t"))
     n = lab.count()
-    drawn = lab.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < float(min(1.0, rows / max(n, 1)) * (1 << 30)))
-    text = docs.where(F.octet_length(text_col).between(1, TRAIN_BYTES)).select(F.col(id_col), F.col(text_col).alias("__wl_text"))
-    got = text.join(F.broadcast(drawn), id_col).select("__wl_text", "q", "t").collect()  # drawn has about `rows` rows at any size
-    got.sort(key=lambda r: (r[0], r[1], r[2]))
-    return fit_rows([r[0] for r in got], [r[1] for r in got], [r[2] for r in got])
+    drawn = lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < float(min(1.0, rows / max(n, 1)) * (1 << 30)))
+    text = docs.where(F.octet_length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return text.join(maybe_broadcast(drawn), "id").groupBy("id", "q", "t").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
+    """The document model from about ``rows`` labelled rows (``training_sample``); their texts stay on the executors, which send counts and features."""
+    spark = docs.sparkSession
+    ship(spark)
+    sample = written(training_sample(docs, labels, id_col, text_col, rows).select("id", "text", "q", "t"))
+    own = sample.schema["id"]
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s = _sketches(batch.column(1)).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *(pa.array(s[:, j]) for j in range(3))], names=["id", "q", "t", "a", "b", "c"])
+
+    flat = T.StructType([own, *(T.StructField(c, T.IntegerType()) for c in "qt"), *(T.StructField(c, T.LongType()) for c in "abc")])
+    drawn = sorted(sample.mapInArrow(over_texts(sketch), flat).collect(), key=lambda r: str(r["id"]))  # a few numbers for each of about `rows` rows
+    q, t = (np.array([r[c] for r in drawn], int) for c in "qt")
+    good = (q == 1) & (t == 0)
+    if good.all() or not good.any():
+        return Model([], None, 0.5)
+    classes = _counting(q, t, np.array([[r[c] for c in "abc"] for r in drawn], np.int64).view(np.uint64))
+    row_of = spark.sparkContext.broadcast({r["id"]: k for k, r in enumerate(drawn)})
+    counted = spark.sparkContext.broadcast(classes)
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row = np.array([row_of.value[i] for i in batch.column(0).to_pylist()], int)
+        hashes, seen = tally(batch.column(1), [(y[row], use[row]) for y, use in counted.value])
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *(pa.array(x.astype(np.int64)) for both in seen for x in both)], names=["term", "t1", "t0", "q1", "q0"])
+
+    sums = sample.mapInArrow(over_texts(count), "term long, t1 long, t0 long, q1 long, q0 long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("t1", "t0", "q1", "q0")))
+    sums = written(sums)
+    lexicons = []
+    for (y, use), k in zip(classes, "tq"):
+        n1, n0 = int((y * use).sum()), int(((1 - y) * use).sum())
+        # ``lexicon``'s test with a margin for rounding: only what passes comes to the driver
+        one, zero = F.col(f"{k}1") + 1.0, F.col(f"{k}0") + 1.0
+        w = F.log(one / (max(n1, 1) + 2)) - F.log(zero / (max(n0, 1) + 2)) + 1e-6
+        got = sums.where((w >= WEIGHT) & (w > Z * F.sqrt(1 / one + 1 / zero))).select("term", f"{k}1", f"{k}0").collect()
+        got.sort(key=lambda r: r[0] % (1 << 64))
+        lexicons.append(lexicon(np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([r[1] for r in got], float), np.array([r[2] for r in got], float), n1, n0))
+    known = spark.sparkContext.broadcast(lexicons)
+
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = _features(batch.column(1), known.value)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "x"])
+
+    rows_ = sample.mapInArrow(over_texts(look), T.StructType([own, T.StructField("x", T.ArrayType(T.DoubleType()))])).collect()
+    x = np.array([r["x"] for r in sorted(rows_, key=lambda r: row_of.value[r["id"]])])
+    return Model(lexicons, logistic(x, good.astype(float)), float(good.mean()))
 
 
 def evidence_udf(spark, model: Model):
@@ -242,7 +308,9 @@ def evidence_udf(spark, model: Model):
     def llr(texts: pa.Array) -> pa.Array:
         if len(texts) == 0:
             return pa.array([], pa.float64())
-        return pa.array(np.concatenate([spread.value.evidence(texts.slice(i, j - i)) for i, j in chunks(texts, SCORE_BYTES)]))
+        out = np.concatenate([spread.value.evidence(texts.slice(i, j - i)) for i, j in chunks(texts)])
+        released()
+        return pa.array(out)
 
     return llr
 
@@ -280,20 +348,17 @@ def shrunk(groups: DataFrame) -> DataFrame:
     return both.select("host", "path", "host_rate", ((F.col("s") + kp * F.col("host_rate")) / (F.col("n") + kp)).alias("path_rate"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path_col: str | None = "lang", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` with __wl_evidence, __wl_host_rate, __wl_path_rate, __wl_posterior and __wl_keep.
-
-    The path section is the source URL's first segment; where a source has none, ``path_col``.  Null
-    source and path are the site ''.  Null and empty texts have evidence 0: their site decides.  A
-    posterior equal to the threshold is kept.  Repeated rows count and are judged one by one.  Without
-    labels of both classes all evidence is 0 and the posterior is the site's rate, 0.5: all are kept.
-    """
-    spark = docs.sparkSession
-    model = fit(docs, labels, id_col, text_col, train_rows)
-    llr, prior = evidence_udf(spark, model), float(np.log(model.prior / (1 - model.prior)))
+def _keyed(docs: DataFrame, model: Model, text_col: str, source_col: str, path_col: str | None) -> DataFrame:
+    """``docs`` with __wl_host, __wl_path and __wl_evidence."""
     host, section = site(F.col(source_col))
     path = F.when(section == "", F.coalesce(F.col(path_col).cast("string"), F.lit(""))).otherwise(section) if path_col else section
-    keyed = docs.withColumns({"__wl_host": host, "__wl_path": path, "__wl_evidence": llr(F.col(text_col).cast("string"))})
+    llr = evidence_udf(docs.sparkSession, model)
+    return docs.withColumns({"__wl_host": host, "__wl_path": path, "__wl_evidence": llr(F.col(text_col).cast("string"))})
+
+
+def _judged(keyed: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """Stored rows of ``_keyed`` with the rates, the posterior and the decision."""
+    prior = float(np.log(model.prior / (1 - model.prior)))
     p = 1 / (1 + F.exp(-(F.col("__wl_evidence") + prior)))
     groups = stored(keyed.groupBy(F.col("__wl_host").alias("host"), F.col("__wl_path").alias("path")).agg(F.count("*").alias("n"), F.sum(p).alias("s")))
     rates = shrunk(groups).select(F.col("host").alias("__wl_host"), F.col("path").alias("__wl_path"), F.col("host_rate").alias("__wl_host_rate"), F.col("path_rate").alias("__wl_path_rate"))
@@ -303,13 +368,29 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return out.withColumn("__wl_keep", F.col("__wl_posterior") >= threshold)
 
 
-def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row per row of ``docs``: id, host, path, evidence, host_rate, path_rate, posterior, keep."""
-    c = classify(docs, labels, id_col, **options)
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path_col: str | None = None, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``docs`` with __wl_evidence, __wl_host_rate, __wl_path_rate, __wl_posterior and __wl_keep.
+
+    The path section is the source URL's first segment; where a source has none, ``path_col`` if given.  Null
+    source and path are the site ''.  Null and empty texts have evidence 0: their site decides.  A
+    posterior equal to the threshold is kept.  Repeated rows count and are judged one by one.  Without
+    labels of both classes all evidence is 0 and the posterior is the site's rate, 0.5: all are kept.  An empty
+    table gives none.  Very long texts are scored whole, piece by piece.  Columns of any other name pass through.
+    The rows are written to the shared folder once with their evidence, so no text is scored twice.
+    """
+    model = fit(docs, labels, id_col, text_col, train_rows)
+    return _judged(written(_keyed(docs, model, text_col, source_col, path_col)), model, threshold)
+
+
+def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path_col: str | None = None, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """One row per row of ``docs``: id, host, path, evidence, host_rate, path_rate, posterior, keep; as ``classify``, without the documents."""
+    model = fit(docs, labels, id_col, text_col, train_rows)
+    keyed = written(_keyed(docs, model, text_col, source_col, path_col).select(id_col, "__wl_host", "__wl_path", "__wl_evidence"))
+    c = _judged(keyed, model, threshold)
     return c.select(id_col, *(F.col(f"__wl_{x}").alias(x) for x in ("host", "path", "evidence", "host_rate", "path_rate", "posterior", "keep")))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """First stage of the corpus pipeline: the documents that the classifier keeps, with their columns."""
+    """First stage of the corpus pipeline: the documents that the classifier keeps, with their columns. Awkward rows as in ``classify``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify(docs, labels).where("__wl_keep").select(*docs.columns)
