@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from weftline.llm import annaq
+from weftline.llm import annaq, queries
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id string, x int, code string, norm double, q int, d int"
 
@@ -24,7 +25,7 @@ def test_recall(spark):
     rows = table.collect()
     want = exact([r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows]), 10)
     got: dict[int, list] = {}
-    for r in annaq.neighbours(table, rerank=64, query_block=200, data_block=250).collect():
+    for r in annaq.neighbours(table, rerank=64, data_block=250, a_pass=200).collect():
         got.setdefault(r["vec_id"], []).append(r["neighbour_id"])
     hits = sum(len(set(got[i]) & set(w)) for i, w in want.items())
     assert got.keys() == want.keys() and hits / sum(map(len, want.values())) >= 0.9
@@ -32,6 +33,46 @@ def test_recall(spark):
         assert set(r[1]) == set(want[r[0]])  # with all candidates ranked again it is exact search
 
 
+def test_registered_query_against_exact_search(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids, x = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float32)
+    got: dict[int, list] = {}
+    for r in sorted(queries.op4_nearest_neighbours(spark, "/root/testdata/sf0.1").collect(), key=lambda r: (r["vec_id"], r["rank"])):
+        got.setdefault(r["vec_id"], []).append((r["neighbour_id"], r["distance"]))
+    assert got.keys() == {i for i in ids if i % 50 == 0}
+    hits = 0
+    for i, found in got.items():
+        d = ((x - x[ids.index(i)]).astype(np.float64) ** 2).sum(axis=1)
+        best = [ids[j] for j in np.argsort(d, kind="stable") if ids[j] != i][:10]
+        hits += len({f for f, _ in found} & set(best))
+        assert len(found) == 10 and all(np.isclose(dist, d[ids.index(f)]) for f, dist in found)
+    assert hits / (10 * len(got)) >= 0.9, hits / (10 * len(got))
+
+
+def test_lists_out_of_reach_are_left_out_and_nothing_is_lost(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 20
+    x = np.round(centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)), 4).astype(np.float32)
+    books = annaq.seed_books(x, 2, 32)
+    codes = books.encode(x)
+    radius = np.array([np.sqrt(((x[codes[:, 0] == w] - books.words[0][w]) ** 2).sum(axis=1)).max() if (codes[:, 0] == w).any() else 0 for w in range(32)])
+    ids = np.arange(3000)
+    table = pa.table({"id": ids, "x": list(x), "bound": annaq.bounds(x, ids, books, ids[:1000], x[:1000], 10)})
+    asked = annaq.Queries.of(table, books)
+    may = annaq.alive(asked, np.arange(32), radius)
+    assert may.mean() < 0.25
+    for q in range(0, 3000, 60):
+        d = ((x - asked.x[q]) ** 2).sum(axis=1)
+        d[asked.keys[q]] = np.inf
+        assert may[q, codes[np.argsort(d)[:10], 0]].all()
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    want = exact(list(range(3000)), x, 10)
+    got: dict[int, set] = {}
+    for r in annaq.neighbours(df, books=2, words=32, rerank=3000, sample_rows=1000).collect():
+        got.setdefault(r["vec_id"], set()).add(r["neighbour_id"])
+    assert got == {i: set(w) for i, w in want.items()}
+
+
 def test_codes_and_scores():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 12)).astype(np.float32)

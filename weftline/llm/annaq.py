@@ -1,14 +1,15 @@
 """Nearest neighbours by additive quantisation.
 
 A vector is encoded as the sum of one codeword from each of ``BOOKS`` codebooks, all of full dimension:
-each codebook is trained on what the ones before leave over, encoding keeps the ``BEAM`` best partial sums, and
-then all codebooks are fitted again together, by least squares over the codes of all vectors.  A query
-scores a vector by one lookup per codebook, inner products of the query with the codewords, less half the
-stored squared norm of the sum; this ranks as the distance does.  The best ``RERANK`` of every block are
+each codebook is trained on what the ones before leave over, and encoding keeps the ``BEAM`` best partial sums.
+A query scores a vector by one lookup per codebook, inner products of the query with the codewords, less half the
+stored squared norm of the sum; this ranks as the distance does.  The best ``RERANK`` of every block of vectors are
 ranked again by the vectors themselves.
 
-Each vector is a query.  Queries and vectors are cut into blocks, and each pair of blocks is a task, so
-memory is bounded whatever the table's size, and no pair is left out.
+The index holds every vector, in lists by its first codeword, and is written once.  Tasks go through it block by block,
+with the queries at hand, a bounded number in each pass, so vectors aren't shuffled for queries.  Each query comes with a
+bound, the distance of its k-th neighbour in the training sample; a list is left out for a query only if the triangle
+inequality puts all its vectors beyond that bound.
 """
 
 from __future__ import annotations
@@ -17,21 +18,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from weftline.llm.common import ship, stored
+from weftline.llm.common import released, ship, stored, written
 
 BOOKS, WORDS, BEAM = 16, 128, 4
-#: Passes over all vectors that fit the codebooks again.
-REFITS = 1
-#: Vectors that start the codebooks, at most; the refits cover all.
-SEED_ROWS = 8192
+#: Vectors that the codebooks are trained on, about: a bound of the training sample. The index holds all.
+SAMPLE_ROWS = 8192
 #: Neighbours reported, and candidates of a block that are ranked by exact distance.
 K, RERANK = 10, 512
-#: Vectors in a block.
-QUERY_BLOCK, DATA_BLOCK = 8192, 16384
+#: Vectors in a block, and bytes of them at most; queries of a pass, and bytes of them at most.
+DATA_BLOCK, BLOCK_BYTES = 16384, 16 << 20
+QUERIES_A_PASS, PASS_BYTES = 32768, 32 << 20
+#: Queries scored together.
+TOGETHER = 256
 
 
 def nearest_words(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -105,52 +108,6 @@ def seed_books(x: np.ndarray, books: int = BOOKS, words: int = WORDS) -> Codeboo
     return Codebooks(np.stack(out))
 
 
-def refit(vectors: DataFrame, books: Codebooks) -> Codebooks:
-    """Codebooks of least squared error for the codes that all ``vectors`` have with ``books``.
-
-    Tasks add up the normal equations: how often two codewords occur together, and the sum of the vectors of each; the
-    sums are books x words squared in size, whatever the number of vectors.
-    """
-    m, k, d = books.words.shape
-    size = m * k
-    spread = vectors.sparkSession.sparkContext.broadcast(books)
-    schema = "part int, a binary, b binary"
-    parts = 8
-
-    def run(batches):
-        a, b = np.zeros((size, size), np.float32), np.zeros((size, d), np.float64)
-        any_ = False
-        for batch in batches:
-            x = as_matrix(batch.column(0))
-            for i in range(0, len(x), 2048):
-                any_ = True
-                codes = spread.value.encode(x[i : i + 2048]).astype(np.int64) + np.arange(m) * k
-                pair = (codes[:, :, None] * size + codes[:, None, :]).ravel()
-                a += np.bincount(pair, minlength=size * size).reshape(size, size).astype(np.float32)
-                for c in range(m):
-                    b[c * k : (c + 1) * k] += one_hot(codes[:, c] - c * k, k).T @ x[i : i + 2048]
-        if any_:
-            step = size // parts
-            for p in range(parts):
-                s = slice(p * step, (p + 1) * step if p < parts - 1 else size)
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([a[s].tobytes()], pa.binary()), pa.array([b[s].tobytes()], pa.binary())], names=["part", "a", "b"])
-
-    def add(table: pa.Table) -> pa.Table:
-        a = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table.column("a"))
-        b = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("b"))
-        return pa.table({"part": table.column("part").slice(0, 1), "a": pa.array([a.tobytes()], pa.binary()), "b": pa.array([b.tobytes()], pa.binary())})
-
-    got = sorted(vectors.select("x").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect())
-    if not got:
-        return books
-    a = np.concatenate([np.frombuffer(r["a"], np.float64) for r in got]).reshape(size, size)
-    b = np.concatenate([np.frombuffer(r["b"], np.float64) for r in got]).reshape(size, d)
-    ridge = 1e-3 * max(np.trace(a) / size, 1e-9)
-    old = books.words.reshape(size, d)
-    new = np.linalg.solve(a + ridge * np.eye(size), b + ridge * old)
-    return Codebooks(new.reshape(m, k, d).astype(np.float32))
-
-
 def as_matrix(col: pa.Array) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -167,78 +124,168 @@ def clean(table: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     return ok.where(F.size("x") == d), d
 
 
-def train(vectors: DataFrame, books: int = BOOKS, words: int = WORDS, seed_rows: int = SEED_ROWS, refits: int = REFITS) -> Codebooks | None:
-    """Codebooks of a table (id, x); None if it is empty."""
+def sample(vectors: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list, np.ndarray]:
+    """Ids and vectors of about ``rows`` rows of a table (id, x), drawn by hash of the id; all, if there are no more than that."""
     n = vectors.count()
-    if not n:
-        return None
-    draw = F.pmod(F.xxhash64("id", "x"), F.lit(1 << 30))
-    rows = vectors.where(draw < float(min(1.0, seed_rows / n) * (1 << 30))).select("id", "x").collect() or vectors.select("id", "x").limit(seed_rows).collect()
-    x = np.array([r["x"] for r in sorted(rows, key=lambda r: (r["id"], r["x"]))], np.float32)
-    got = seed_books(x, books, words)
-    for _ in range(refits):
-        got = refit(vectors, got)
-    return got
-
-
-def neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, rerank: int = RERANK, query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK, **training) -> DataFrame:
-    """id, neighbour_id, distance (squared Euclidean), rank: the ``k`` nearest other rows of each row.
-
-    Approximate in the candidates (``rerank`` of every block of vectors), exact in distance and order.  Ties go to the smaller
-    id.  Rows without an id, or whose vector is null, empty, of another dimension than most, or not finite, are
-    neither queries nor neighbours.  Repeated rows (of one id) count once, by their smallest vector.  A table of one row has no neighbours.
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    got = sorted(vectors.where(draw < float(min(1.0, rows / max(n, 1)) * (1 << 30))).select("id", "x").collect(), key=lambda r: r["id"])
+    return [r["id"] for r in got], np.array([r["x"] for r in got], np.float32)
+
+
+def bounds(x: np.ndarray, ids: np.ndarray, books: Codebooks, sample_ids: np.ndarray, sample_x: np.ndarray, k: int) -> np.ndarray:
+    """A squared distance within which each of ``x`` has at least ``k`` others; infinite where the sample has too few."""
+    if len(sample_ids) <= k:
+        return np.full(len(x), np.inf)
+    d = (sample_x * sample_x).sum(axis=1)[None] - 2 * (x @ sample_x.T)
+    near = np.argpartition(d, k, axis=1)[:, : k + 1]
+    exact = ((sample_x[near] - x[:, None]).astype(np.float64) ** 2).sum(axis=2)
+    exact[sample_ids[near] == ids[:, None]] = np.inf
+    return np.sort(exact, axis=1)[:, k - 1] * (1 + 1e-5) + 1e-9
+
+
+@dataclass
+class Queries:
+    """Queries of a pass, those of one first codeword side by side; ``words``: distances to all first codewords."""
+
+    ids: pa.Array
+    keys: np.ndarray
+    x: np.ndarray
+    bound: np.ndarray
+    words: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table, books: Codebooks) -> Queries:
+        x = as_matrix(table.column("x"))
+        first = books.words[0]
+        d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (first * first).sum(axis=1)[None] - 2 * (x @ first.T), 0)).astype(np.float32)
+        order = np.lexsort((table.column("bound").to_numpy(), d.argmin(axis=1)))
+        ids = table.column("id").combine_chunks().take(pa.array(order))
+        return Queries(ids, ids.to_numpy(zero_copy_only=False), x[order], table.column("bound").to_numpy()[order], d[order])
+
+
+def alive(queries: Queries, lists: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """queries x lists: whether a vector of the list, all within ``radius`` of its codeword, may be within the query's bound."""
+    gap = queries.words[:, lists] - radius[None]
+    return np.maximum(gap - 1e-4 * (1 + np.abs(gap)), 0) ** 2 <= queries.bound[:, None]
+
+
+def block_neighbours(queries: Queries, ids: pa.Array, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: Codebooks, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, squared distance): up to ``k`` candidates of each query among the vectors of a block."""
+    did = ids.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes[:, 0], kind="stable")
+    lists, begin = np.unique(codes[order, 0], return_index=True)
+    from_word = np.sqrt(((x - books.words[0][codes[:, 0]]) ** 2).sum(axis=1))
+    may = alive(queries, lists, np.maximum.reduceat(from_word[order], begin))
+    end = np.append(begin[1:], len(order))
+    who, which, dist = [], [], []
+    for i in range(0, len(queries.x), TOGETHER):
+        asked = may[i : i + TOGETHER].any(axis=0)
+        if not asked.any():
+            continue
+        rows = order if asked.all() else np.concatenate([order[b:e] for b, e in zip(begin[asked], end[asked])])
+        s = books.scores(queries.x[i : i + TOGETHER], codes[rows], norms[rows]).T
+        take = min(rerank + 1, len(rows))
+        best = rows[np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(rows) else np.tile(np.arange(len(rows)), (len(s), 1))]
+        del s
+        for j in range(0, len(best), 32):
+            here = slice(i + j, i + min(j + 32, len(best)))
+            cand = best[j : j + 32]
+            d = ((x[cand] - queries.x[here][:, None]).astype(np.float64) ** 2).sum(axis=2)
+            d[(did[cand] == queries.keys[here][:, None]) | (d > queries.bound[here][:, None])] = np.inf
+            at = np.lexsort((did[cand], d), axis=1)[:, : min(k, take)]
+            row = np.arange(len(cand))[:, None]
+            fine = np.isfinite(d[row, at])
+            who.append(np.broadcast_to(i + j + row, at.shape)[fine]), which.append(cand[row, at][fine]), dist.append(d[row, at][fine])
+    cat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    return cat(who, np.int64), cat(which, np.int64), cat(dist, np.float64)
+
+
+def index(vectors: DataFrame, books: Codebooks) -> DataFrame:
+    """Every vector (id, x) with its code and norm, written once, in lists by first codeword; a list of very many is cut by id."""
+    spread = vectors.sparkSession.sparkContext.broadcast(books)  # books x words x dimension numbers, whatever the number of vectors
+    schema = T.StructType([*vectors.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("norm", T.FloatType()), T.StructField("first", T.IntegerType())])
+
+    def encode(batches):
+        for batch in batches:
+            x = as_matrix(batch.column(1))
+            codes = spread.value.encode(x)
+            code = pa.array([c.tobytes() for c in codes], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, code, pa.array(spread.value.norms(codes), pa.float32()), pa.array(codes[:, 0].astype(np.int32))], names=schema.names)
+        released()
+
+    return written(vectors.mapInArrow(encode, schema).repartitionByRange("first", "id").sortWithinPartitions("first"))
+
+
+def search(coded: DataFrame, queries: DataFrame, books: Codebooks, k: int = K, rerank: int = RERANK, data_block: int = DATA_BLOCK, a_pass: int = QUERIES_A_PASS) -> DataFrame:
+    """id, neighbour_id, distance: candidates of every query (id, x, bound) in every block of an ``index``; at most ``k`` each."""
+    spark = coded.sparkSession
+    id_type = coded.schema["id"].dataType
+    size = 4 * books.words.shape[2]
+    a_pass, data_block = max(1, min(a_pass, PASS_BYTES // size)), max(1, min(data_block, BLOCK_BYTES // size))
+    passes = max(1, -(-queries.count() // a_pass))
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("neighbour_id", id_type), T.StructField("distance", T.DoubleType())])
+    known = spark.sparkContext.broadcast(books)
+
+    def pass_over(part: DataFrame) -> DataFrame:
+        asked = spark.sparkContext.broadcast(Queries.of(part.toArrow(), books))  # a_pass queries, about
+
+        def block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+            data = pa.Table.from_batches(batches).combine_chunks()
+            ids = data.column("id").combine_chunks()
+            codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            who, which, dist = block_neighbours(asked.value, ids, as_matrix(data.column("x")), codes, data.column("norm").to_numpy(), known.value, k, rerank)
+            return pa.RecordBatch.from_arrays([asked.value.ids.take(pa.array(who)), ids.take(pa.array(which)), pa.array(dist)], names=schema.names)
+
+        def run(batches):
+            held, n = [], 0
+            for batch in batches:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= data_block:
+                    yield block(held)
+                    held, n = [], 0
+            if n:
+                yield block(held)
+            released()
+
+        return coded.select("id", "x", "code", "norm").mapInArrow(run, schema)
+
+    out = None
+    for p in range(passes):
+        got = pass_over(queries if passes == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", queries: Column | None = None, k: int = K, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS, books: int = BOOKS, words: int = WORDS, **blocks) -> DataFrame:
+    """id, neighbour_id, distance (squared Euclidean), rank: the ``k`` nearest other rows of each query, of all rows.
+
+    ``queries``: a condition on id that names the queries; every row is one by default.  Approximate in the candidates
+    (``rerank`` of every block of vectors), exact in distance and order.  Ties go to the smaller id.  Rows without an id, or
+    whose vector is null, empty, of another dimension than most, or not finite, are neither queries nor neighbours.
+    Repeated rows (of one id) count once, by their smallest vector.  A table of one row has no neighbours, nor has an empty one.
     """
     spark = table.sparkSession
     ship(spark)
     ok, _ = clean(table, id_col, vec_col)
     vectors = stored(ok.groupBy("id").agg(F.min("x").alias("x")))
-    books = train(vectors, **training)
+    drawn, x = sample(vectors, sample_rows)
+    if not drawn:
+        drawn, x = sample(vectors.limit(sample_rows), sample_rows)  # so few rows that none was drawn
     id_type = table.schema[id_col].dataType
-    out = T.StructType([T.StructField("id", id_type), T.StructField("neighbour_id", id_type), T.StructField("distance", T.DoubleType())])
-    if books is None:
-        return spark.createDataFrame([], T.StructType([T.StructField(id_col, id_type), *out.fields[1:], T.StructField("rank", T.IntegerType())]))
-    spread = spark.sparkContext.broadcast(books)  # books x words x dimension numbers, whatever the number of vectors
+    if not drawn:
+        out = [T.StructField(id_col, id_type), T.StructField("neighbour_id", id_type), T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())]
+        return spark.createDataFrame([], T.StructType(out))
+    made = seed_books(x, books, words)
+    known = spark.sparkContext.broadcast((made, np.array(drawn), x))  # the codebooks and the sample: bounded
 
-    def encode(batches):
+    def bound(batches):
         for batch in batches:
-            x = as_matrix(batch.column(1))
-            for i in range(0, len(x), 2048):
-                codes = spread.value.encode(x[i : i + 2048])
-                part = batch.slice(i, 2048)
-                norms = spread.value.norms(codes)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], names=["id", "x", "code", "norm"])
-
-    coded = stored(vectors.mapInArrow(encode, T.StructType([T.StructField("id", id_type), T.StructField("x", T.ArrayType(T.FloatType())), T.StructField("code", T.BinaryType()), T.StructField("norm", T.FloatType())])))
-    n = coded.count()
-    qs, ds = -(-n // query_block), -(-n // data_block)
-    place = lambda blocks, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).cast("int")
-    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = coded.select("id", "x", place(qs, 1).alias("q"), each(ds).alias("d"))
-    right = coded.select("id", "x", "code", "norm", place(ds, 2).alias("d"), each(qs).alias("q"))
-
-    def task(queries: pa.Table, data: pa.Table) -> pa.Table:
-        empty = pa.table({"id": pa.array([], pa.int64()), "neighbour_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        if not queries.num_rows or not data.num_rows:
-            return empty.cast(pa.schema([("id", queries.schema.field("id").type), ("neighbour_id", queries.schema.field("id").type), ("distance", pa.float64())]))
-        qi, di = queries.column("id").combine_chunks(), data.column("id").combine_chunks()
-        qx, dx = as_matrix(queries.column("x")), as_matrix(data.column("x"))
-        codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(di), -1)
-        norms = data.column("norm").to_numpy()
-        qid, did = qi.to_numpy(zero_copy_only=False), di.to_numpy(zero_copy_only=False)
-        who, which, dist = [], [], []
-        take = min(rerank + 1, len(did))
-        for i in range(0, len(qx), 256):
-            q = qx[i : i + 256]
-            s = spread.value.scores(q, codes, norms).T
-            best = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < s.shape[1] else np.tile(np.arange(len(did)), (len(q), 1))
-            d = ((dx[best] - q[:, None, :]).astype(np.float64) ** 2).sum(axis=2)
-            d[did[best] == qid[i : i + 256, None]] = np.inf
-            order = np.lexsort((did[best], d), axis=1)[:, : min(k, take)]
-            row = np.arange(len(q))[:, None]
-            fine = np.isfinite(d[row, order])
-            who.append(np.broadcast_to(i + row, order.shape)[fine]), which.append(best[row, order][fine]), dist.append(d[row, order][fine])
-        return pa.table({"id": qi.take(pa.array(np.concatenate(who))), "neighbour_id": di.take(pa.array(np.concatenate(which))), "distance": np.concatenate(dist)})
-
-    found = left.groupBy("q", "d").cogroup(right.groupBy("q", "d")).applyInArrow(task, out)
-    top = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))), 1, k).alias("top"))
-    return top.select(F.col("id").alias(id_col), F.posexplode("top").alias("at", "n")).select(id_col, F.col("n.neighbour_id").alias("neighbour_id"), F.col("n.distance").alias("distance"), (F.col("at") + 1).alias("rank"))
+            b = bounds(as_matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False), *known.value, k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(b)], names=["id", "x", "bound"])
+
+    asked = vectors if queries is None else vectors.withColumnRenamed("id", id_col).where(queries).withColumnRenamed(id_col, "id")
+    asked = stored(asked.mapInArrow(bound, T.StructType([*vectors.schema.fields, T.StructField("bound", T.DoubleType())])))
+    found = search(index(vectors, made), asked, made, k, rerank, **blocks)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias(id_col), "neighbour_id", "distance", "rank")

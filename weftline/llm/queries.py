@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm import annaq, bpe, decontam, htmltext, langid, licenses, quality, secretscan, simhash, warc
 
@@ -27,7 +28,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annaq.neighbours(_table(spark, sf_dir, "embeddings"))
+    """The neighbours, among all rows, of every row whose id is divisible by 50."""
+    return annaq.neighbours(_table(spark, sf_dir, "embeddings"), queries=F.pmod(F.col("vec_id"), F.lit(50)) == 0)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
