@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import ids, names, routes, sqltext, text
 from weftline.model import DB_OBJECTS, READS, WRITES, Graph, Options
 from weftline.operators import dedupe, enrich, links, memory, metrics, structure, traverse
 from weftline.operators.api import Api, table_lookup
-from weftline.plans import lift
+from weftline.plans import lift, statements
 from weftline.plans.lift import SQL as L
 from weftline.plans.lift import graph, published, table
 from weftline.session import ship
@@ -489,7 +489,7 @@ def declared_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_returnflag) AS f FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE f WHEN 'N' THEN 'READS_FROM:APP.PART_'||l_partkey||',READS_FROM:SUP_'||l_suppkey||'@REMOTE' WHEN 'A' THEN 'INSERTS:APP.PART_'||l_partkey||',READS_FROM:SUP_'||l_suppkey ELSE 'UPDATES:PART_'||l_partkey||',READS_FROM:SUP_'||l_suppkey END AS refs FROM s""")
 def sql_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables that statements read and write, comments and literals aside."""
+    """Tables that statements read and write, comments and literals aside."""
     ship(spark)
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.min("l_returnflag").alias("f"))
     p, s = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
@@ -498,8 +498,22 @@ def sql_references(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("f") == "A", F.concat(F.lit("insert into app.part_"), p, F.lit(" (a, b) select a, b /* from x */ from sup_"), s))
         .otherwise(F.concat(F.lit("update part_"), p, F.lit(" set a = (select max(a) from sup_"), s, F.lit(") where b = 1")))
     )
-    a = li.withColumn("a", sqltext.analysis(sql))
-    return a.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(F.transform("a.tables", lambda t: F.concat_ws(":", t["relation"], t["name"])), ",").alias("refs"))
+    a = li.withColumn("a", sqltext.referenced_tables(sql))
+    return a.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _refs("a"))
+
+
+def _refs(tables: str) -> Column:
+    return F.array_join(F.transform(tables, lambda t: F.concat_ws(":", t["relation"], t["name"])), ",").alias("refs")
+
+
+@query(statements.expected_sql("part", "p_partkey"))
+def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of statements of many shapes, one for each part, by the whole analysis."""
+    ship(spark)
+    shape = F.col("p_partkey") % len(statements.STATEMENTS)
+    sql = F.replace(F.array(*[F.lit(q) for q, _ in statements.STATEMENTS])[shape.cast("int")], F.lit("#"), F.col("p_partkey").cast("string"))
+    a = table(spark, sf_dir, "part").select("p_partkey", shape.cast("long").alias("statement"), sqltext.analysis(sql).alias("a"))
+    return a.select("p_partkey", "statement", _refs("a.tables"))
 
 
 @query("SELECT doc_id, CASE WHEN length(t) >= 10 AND regexp_matches(t, '^(select\\b[\\s\\S]*\\bfrom\\b|insert\\b[\\s\\S]*\\binto\\b|update\\b[\\s\\S]*\\bset\\b|delete\\b[\\s\\S]*\\bfrom\\b|merge\\b[\\s\\S]*\\binto\\b|with\\b[\\s\\S]*\\bselect\\b|begin\\b[\\s\\S]*\\bend\\b|call\\s+\\w+)') THEN true ELSE false END AS is_sql FROM (SELECT doc_id, lower(trim(text)) AS t FROM documents)")
