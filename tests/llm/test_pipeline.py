@@ -38,8 +38,8 @@ def test_run_equals_brute_force(spark, sf, tmp_path):
         if not any(brute_matches(doc, x, decontam.SHARE, decontam.SLOP) for x in worth):
             clean.append(i)
     assert sorted(got) == sorted(clean)
-    grammar = secretscan.fit()
     raw = dict(kept)
+    grammar = secretscan.fit(pairs=secretscan.document_pairs(docs.where(docs["doc_id"].isin(clean))))
     for i in clean:
         row, start, end, fmt, _ = secretscan.findings(grammar, pa.array([raw[i]]))
         b = raw[i].encode()
