@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import fixtures as fx
 from weftline.llm import simhash
@@ -29,20 +32,20 @@ def corpus(n: int = 150, seed: int = 5) -> list[str]:
 
 
 def plain_fingerprint(text: str) -> int:
-    """Bit by bit, the way SimHash is defined."""
-    words = Words(pa.array([text]))
-    h = simhash.mix(words.hash.copy())
-    pairs = [int(simhash.mix(h[i : i + 1] * np.uint64(3) + h[i + 1 : i + 2] * np.uint64(0x9E3779B97F4A7C15))[0]) for i in range(len(h) - 1)] or [int(v) for v in h]
+    """Bit by bit, the way SimHash is defined: different words, each weighing the root of its count."""
+    count = Counter(Words(pa.array([text])).hash.tolist())
+    pairs = [(int(simhash.mix(np.array([w], np.uint64))[0]), round(2 * math.sqrt(c))) for w, c in count.items()]
+    total = sum(c for _, c in pairs)
     halves = []
     for k in range(2):
-        vals = pairs if k == 0 else [int(simhash.mix(np.array([p], np.uint64) ^ np.uint64(0xD6E8FEB86659FD93))[0]) for p in pairs]
-        halves.append(sum((2 * sum(v >> b & 1 for v in vals) > len(vals)) << b for b in range(64)))
+        vals = pairs if k == 0 else [(int(simhash.mix(np.array([p], np.uint64) ^ np.uint64(0xD6E8FEB86659FD93))[0]), c) for p, c in pairs]
+        halves.append(sum((2 * sum(c for v, c in vals if v >> b & 1) > total) << b for b in range(64)))
     return halves[0] << 64 | halves[1]
 
 
 def brute(texts: list[str]) -> tuple[set, list[int]]:
-    fps = [(plain_fingerprint(t), len(t.split())) for t in texts]
-    near = {(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i][0] ^ fps[j][0]).count("1") <= simhash.RADIUS and max(fps[i][1], fps[j][1]) <= simhash.LENGTH_RATIO * min(fps[i][1], fps[j][1]) * (1 + 1e-12)}
+    fps = [plain_fingerprint(t) for t in texts]
+    near = {(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS}
     up = list(range(len(fps)))
 
     def find(i):
@@ -56,57 +59,100 @@ def brute(texts: list[str]) -> tuple[set, list[int]]:
     return near, [find(i) for i in range(len(fps))]
 
 
+WAYS = [{}, {"shard": 8}, {"blocks_from": 0}, {"blocks_from": 0, "shard": 3}]  # one shard, many; pigeonhole, with values that are cut
+
+
 def test_fingerprints_are_majorities():
     texts = corpus(10)
     got = simhash.fingerprints(Words(pa.array(texts)))
     assert [int(a) << 64 | int(b) for a, b in got] == [plain_fingerprint(t) for t in texts]
 
 
-@pytest.mark.parametrize("shard", [simhash.SHARD, 8])  # 8: rings are split by vantage points
-def test_pairs_and_groups_match_brute_force(spark, shard):
+def members(df, **ways) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for r in simhash.groups(df, **ways).collect():
+        out.setdefault(r["group_id"], []).append(r["doc_id"])
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("ways", WAYS, ids=str)
+def test_pairs_and_groups_match_brute_force(spark, ways):
     texts = corpus()
     near, root = brute(texts)
     df = fx.docs(spark, *texts, first=0)
     table = simhash.fingerprint_table(df)
     where = {}
     for r in table.collect():
-        where.setdefault((r["hi"], r["lo"], r["n"]), []).append(r["doc_id"])
-    found = [tuple((r[f"hi_{s}"], r[f"lo_{s}"], r[f"n_{s}"]) for s in "ab") for r in simhash.pairs(table, shard=shard).collect()]
+        where.setdefault((r["hi"], r["lo"]), []).append(r["doc_id"])
+    rows = simhash.pairs(table, **ways).collect()
+    found = [tuple((r[f"hi_{s}"], r[f"lo_{s}"]) for s in "ab") for r in rows]
     assert len(found) == len({frozenset(p) for p in found})
     got = {(max(i, j), min(i, j)) for a, b in found for i in where[a] for j in where[b]} | {(max(i, j), min(i, j)) for ids in where.values() for i in ids for j in ids if i != j}
     assert got == near
-    groups = {r["group_id"]: r["doc_ids"] for r in simhash.groups(df, shard=shard).collect()}
+    full = lambda x: (x[0] & (2**64 - 1)) << 64 | (x[1] & (2**64 - 1))
+    assert all(r["distance"] == (full(a) ^ full(b)).bit_count() for r, (a, b) in zip(rows, found))
     expected = {}
     for i, r in enumerate(root):
         expected.setdefault(r, []).append(i)
-    assert groups == {k: v for k, v in expected.items() if len(v) > 1}
-    kept = sorted(r["doc_id"] for r in simhash.deduplicate(df, shard=shard).collect())
+    assert members(df, **ways) == {k: v for k, v in expected.items() if len(v) > 1}
+    fp = {i: k for k, ids in where.items() for i in ids}
+    links = {i: len({fp[b if i == a else a] for a, b in near if i in (a, b)} - {fp[i]}) for i in fp}
+    for r in simhash.groups(df, **ways).collect():
+        assert (r["n_links"], r["n_copies"]) == (links[r["doc_id"]], len(where[fp[r["doc_id"]]]))
+    kept = sorted(r["doc_id"] for r in simhash.deduplicate(df, **ways).collect())
     assert kept == sorted(expected)
 
 
-@pytest.mark.parametrize("shard", [simhash.SHARD, 8])
-def test_lengths_do_not_separate_near_fingerprints(spark, shard):
+@pytest.mark.parametrize("ways", WAYS[:3], ids=str)
+def test_lengths_do_not_separate_near_fingerprints(spark, ways):
     texts = corpus(40, seed=8)
     for t in texts[:12]:
         words = t.split()
         texts += [" ".join(words[: int(len(words) * 0.8)]), " ".join([*words, *words])]  # cut by a fifth; the text twice
-    fps = [plain_fingerprint(t) for t in texts]
-    root = list(range(len(fps)))
-    for i in range(len(fps)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS and root[i] != root[j]:
-                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    _, root = brute(texts)
     want = {r: [i for i, x in enumerate(root) if x == r] for r in root if root.count(r) > 1}
     assert all(root[j] == root[i] for i in range(12) for j in [len(texts) - 23 + 2 * i])  # the doubled ones
     df = fx.docs(spark, *texts, first=0)
-    assert {r["group_id"]: r["doc_ids"] for r in simhash.groups(df, shard=shard).collect()} == want
-    assert {r["doc_id"] for r in simhash.deduplicate(df, shard=shard).collect()} == set(root)
+    assert members(df, **ways) == want
+    assert {r["doc_id"] for r in simhash.deduplicate(df, **ways).collect()} == set(root)
+
+
+def test_trees_and_shards_leave_out_what_is_out_of_reach(spark, monkeypatch):
+    """Of clustered fingerprints most pairs are never compared, and nothing is lost; shards stay small."""
+    rng = np.random.default_rng(2)
+    centres = rng.integers(0, 1 << 63, (6, 2), dtype=np.uint64) * np.uint64(2)
+    fps = np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, (1500, 2), dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, (1500, 2), dtype=np.uint64)) for c in centres])
+    fps = np.unique(fps, axis=0)
+    compared = 0
+    count = np.bitwise_count
+
+    def counting(x, **out):
+        nonlocal compared
+        compared += x.size if x.ndim == 2 and min(x.shape) > 1 else 0  # blocks of pairs, not distances to a vantage point
+        return count(x, **out)
+
+    monkeypatch.setattr(np, "bitwise_count", counting)
+    pairs = sum(len(a) for a, _, _ in simhash.shard_pairs(fps, fps, True, 3))
+    monkeypatch.undo()
+    want = sum(int((simhash.hamming(fps[i : i + 256], fps) <= 3).sum()) for i in range(0, len(fps), 256))
+    assert pairs == (want - len(fps)) // 2
+    assert 0 < compared < 0.5 * len(fps) ** 2 / 2  # under half of all pairs
+    table = spark.createDataFrame([tuple(map(int, r)) for r in fps.view(np.int64)], "hi long, lo long")
+    met = simhash._in_shards(table, len(fps), 3, 500)
+    sizes = [r["n"] for r in met.where("at = s").groupBy("s", "t").agg(F.count("*").alias("n")).collect()]
+    shards = -(-len(fps) // 500)
+    assert max(sizes) < 1000 and len(sizes) < 0.85 * shards * (shards + 1) / 2
+    # and evenly spread ones, by pigeonhole: a random pair hardly ever meets
+    spread = rng.integers(0, 1 << 63, (400, 2), dtype=np.uint64)
+    table = spark.createDataFrame([tuple(map(int, r)) for r in spread.view(np.int64)], "hi long, lo long")
+    cells = simhash._in_blocks(table, 400, 10**6).groupBy("k", "v").count().where("count > 1").agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
+    assert cells < 0.05 * 400 * 399 / 2
 
 
 def test_large_group_of_copies_and_chain(spark):
     base = corpus(1)[0]
     df = fx.docs(spark, *[base] * 3000, "something else entirely that has words of its own")
-    assert [r["n_rows"] for r in simhash.groups(df).collect()] == [3000]
+    assert {(r["group_id"], r["n_copies"], r["n_links"]) for r in simhash.groups(df).collect()} == {(1, 3000, 0)} and simhash.groups(df).count() == 3000
     assert sorted(r["doc_id"] for r in simhash.deduplicate(df).collect()) == [1, 3001]
 
 
@@ -122,5 +168,5 @@ def test_awkward_rows(spark):
 
 def test_copies_without_words_are_a_group(spark):
     df = fx.docs(spark, "*** --- ***", "some words", "*** --- ***", "*** --- **", "", "", None, None)
-    assert [(r["group_id"], r["doc_ids"], r["n_rows"]) for r in simhash.groups(df).collect()] == [(1, [1, 3], 2)]
+    assert sorted((r["doc_id"], r["group_id"], r["n_copies"]) for r in simhash.groups(df).collect()) == [(1, 1, 2), (3, 1, 2)]
     assert sorted(r["doc_id"] for r in simhash.deduplicate(df).collect()) == [1, 2, 4, 5, 6, 7, 8]

@@ -1,14 +1,20 @@
 """Near duplicates: 128-bit SimHash fingerprints, searched exactly with vantage-point trees.
 
-Two documents are near duplicates if their fingerprints differ in at most ``RADIUS`` bits; how long
-they are doesn't matter.  The triangle inequality holds for Hamming distance, so vantage points bound it:
+A fingerprint is the majority, bit by bit, over a text's different words, each weighted by the root of its count.  Two
+documents are near duplicates if their fingerprints differ in at most ``RADIUS`` bits; how long they are, and in
+which order the words come, doesn't matter.  The triangle inequality holds for Hamming distance, so vantage points bound it:
 
 * equal fingerprints are collapsed first; only distinct ones are searched;
-* shards are the sides of fixed vantage points; a fingerprint queries its own shard and each one whose
-  boundary it lies within reach of, so every pair meets in one task;
+* shards are ranges of the sides and distances of fixed vantage points; shards whose distances to some vantage point are further apart
+  than the radius aren't compared, each other pair of shards is a task;
 * in a task, a vantage-point tree over the shard; a query goes down the sides that the triangle
   inequality leaves it, and is compared bit by bit with the leaves it comes to.
 
+That is quadratic where fingerprints are spread evenly, since then 18 bits are too many for vantage points to rule much out.  So
+a table of more than ``BLOCKS_FROM`` fingerprints is cut by pigeonhole first: of the four blocks of 32 bits, one differs in at most
+four bits, so two near fingerprints meet at a value that is two bits at most from that block of either.  What meets there is a
+shard, and compared as above.  Both ways are exact and find the same pairs.
+
 A task reports a spanning forest of the pairs it finds, which has the same connected components as
 all its pairs; ``pairs`` reports them all.  The components are the groups.
 """
@@ -20,42 +26,43 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import Words, field, maybe_broadcast, mix, over_texts, ship, small, stored, texts_of
+from weftline.llm.common import Words, field, maybe_broadcast, mix, over_texts, released, ship, small, stored, texts_of, written
 
-#: Bits, of 128, in which fingerprints of near duplicates may differ.
-RADIUS = 26
-#: Word counts of near duplicates differ by this factor at most: there is no bound.
-LENGTH_RATIO = float("inf")
-#: Fingerprints that a shard aims at; more are split by vantage points.
-SHARD = 16_384
+#: Bits, of 128, in which fingerprints of near duplicates may differ; under 20, so that the pigeonhole holds.
+RADIUS = 18
+#: Fingerprints of a shard, about.
+SHARD = 32_768
+#: Distinct fingerprints from which on the pigeonhole costs less than comparing all shards.
+BLOCKS_FROM = 4_000_000
+#: Rows of a task of the pigeonhole, about.
+BUCKET = 1 << 20
 #: Fingerprints in a leaf of a task's tree.
 LEAF = 256
 #: Queries compared with a leaf at once, and pairs handed on at once: bound a worker's memory, not the result.
-BLOCK = 512
+BLOCK = 256
 PAIRS_AT_ONCE = 1 << 20
 _SPREAD = np.zeros(256, np.uint64)
 for _b in range(256):
     _SPREAD[_b] = sum(((_b >> i) & 1) << (8 * i) for i in range(8))
-_VANTAGE = np.random.default_rng(99).integers(0, 1 << 64, (20, 2), dtype=np.uint64)
+#: Vantage points: no word, every word, and random ones.
+_VANTAGE = np.concatenate([np.array([[0, 0], [2**64 - 1, 2**64 - 1]], np.uint64), np.random.default_rng(99).integers(0, 1 << 64, (6, 2), dtype=np.uint64)])
+#: What two fingerprints' blocks are changed by to meet: at most two of 32 bits.
+_FLIPS = [0, *(1 << i for i in range(32)), *(1 << i | 1 << j for i in range(32) for j in range(i))]
 
 
 def fingerprints(words: Words) -> np.ndarray:
-    """Two 64-bit halves per row, from each run of two words (from the word, in a text of one)."""
+    """Two 64-bit halves per row: of each bit, whether the different words that have it weigh more than half; a word weighs twice the root of its count, rounded."""
     rows = len(words.first) - 1
-    n = words.count()
-    h = mix(words.hash.copy())
-    pair = h.copy()
-    if len(h) > 1:
-        inside = words.doc[1:] == words.doc[:-1]
-        pair[:-1] = np.where(inside, mix(h[:-1] * np.uint64(3) + h[1:] * np.uint64(0x9E3779B97F4A7C15)), 0)
-    last = words.first[1:][n > 0] - 1
-    use = np.ones(len(h), bool)
-    use[last[n[n > 0] > 1]] = False
-    pair, doc = pair[use], words.doc[use]
+    order = np.lexsort((words.hash, words.doc))
+    h, doc = words.hash[order], words.doc[order]
+    begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
+    weight = np.rint(2 * np.sqrt(np.diff(np.append(begin, len(h))))).astype(np.int64)
+    pair, doc = np.repeat(mix(h[begin]), weight), np.repeat(doc[begin], weight)
+    del h, order
     first = np.searchsorted(doc, np.arange(rows + 1))
     out = np.zeros((rows, 2), np.uint64)
     full = np.flatnonzero(np.diff(first) > 0)
@@ -127,6 +134,21 @@ def shard_pairs(query: np.ndarray, data: np.ndarray, own: bool, radius: int, lea
     """(query row, data row, distance) of all near pairs between two sets of fingerprints; if ``own``, of one set, each once."""
     halves = lambda fp: [np.ascontiguousarray(fp[:, i]) for i in range(2)]
     (dh, dl), (qh, ql) = halves(data), halves(query)
+    xor, bits_, hit = np.empty((leaf, BLOCK), np.uint64), np.empty((leaf, BLOCK), np.uint8), np.empty((leaf, BLOCK), bool)
+    eight = np.arange(8)
+
+    def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Flat places of the pairs of halves that differ in at most ``radius`` bits."""
+        if len(b) < BLOCK:
+            return np.flatnonzero(np.bitwise_count(a[:, None] ^ b) <= radius)
+        n = len(a)
+        np.bitwise_xor(a[:, None], b, out=xor[:n])
+        np.bitwise_count(xor[:n], out=bits_[:n])
+        np.less_equal(bits_[:n], radius, out=hit[:n])
+        flat = hit[:n].reshape(-1)
+        at = (8 * np.flatnonzero(flat.view(np.uint64))[:, None] + eight).ravel()  # eight at a time: hits are rare
+        return at[flat[at]]
+
     done = np.zeros(len(query), bool)  # if own: leaves compared with all that is near them
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     count = 0
@@ -141,16 +163,17 @@ def shard_pairs(query: np.ndarray, data: np.ndarray, own: bool, radius: int, lea
             if own:
                 q = q[~done[q]]
                 done[rows] = True
+            high, asked = dh[rows], qh[q]
             for at in range(0, len(q), BLOCK):
                 part = q[at : at + BLOCK]
-                dist = np.bitwise_count(dh[rows][:, None] ^ qh[part])
-                dist += np.bitwise_count(dl[rows][:, None] ^ ql[part])
-                near = np.flatnonzero(dist <= radius)
+                near = within(high, asked[at : at + BLOCK])  # one half alone: of pairs that are apart, hardly any go on
                 if not len(near):
                     continue
                 i, j = np.divmod(near, len(part))
                 a, b = part[j], rows[i]
-                dist = dist.ravel()[near].astype(np.int64)
+                dist = (np.bitwise_count(dh[b] ^ qh[a]) + np.bitwise_count(dl[b] ^ ql[a])).astype(np.int64)
+                fine = dist <= radius
+                a, b, dist = a[fine], b[fine], dist[fine]
                 if own:  # of two in this leaf, once
                     once = ~done[a] | (b < a)
                     a, b, dist = a[once], b[once], dist[once]
@@ -195,68 +218,140 @@ class Forest:
                 self.edges.append((i, j, d))
 
 
-def _shards(fps: DataFrame, radius: int, shard: int) -> DataFrame:
-    """hi, lo, n, role (0 data and own queries, 1 queries from elsewhere), cell: what meets in which task."""
-    cells = -(-fps.count() // shard)
-    depth = min(len(_VANTAGE), max(0, cells - 1).bit_length())
-    if not depth:
-        return fps.select("hi", "lo", "n", F.lit(0).alias("cell"), F.lit(0).alias("role"))
-    half = 64
-    dist = [F.bit_count(F.col("hi").bitwiseXOR(F.lit(int(v.view(np.int64)[0])))) + F.bit_count(F.col("lo").bitwiseXOR(F.lit(int(v.view(np.int64)[1])))) for v in _VANTAGE[:depth]]
-    measured = fps.withColumn("d", F.array(*dist))
-    far = [F.col("d")[j] > half for j in range(depth)]
-    code = sum((F.when(f, 1 << j).otherwise(0) for j, f in enumerate(far)), F.lit(0))
-    gaps = [F.when(f, F.col("d")[j] - half).otherwise(half + 1 - F.col("d")[j]) for j, f in enumerate(far)]  # bits to the other side
-    crossed = F.filter(F.array(*[F.when(g <= radius, 1 << j).otherwise(0) for j, g in enumerate(gaps)]), lambda x: x > 0)
-    flips = F.aggregate(crossed, F.array(F.lit(0)), lambda to, bit: F.concat(to, F.transform(to, lambda x: x.bitwiseXOR(bit))))
-    coded = measured.withColumns({"code": code.cast("int"), "flip": F.explode(flips)}).withColumn("cell", F.col("code").bitwiseXOR(F.col("flip")).cast("int"))
-    # of the two cells of a pair, the one with the larger code holds the data
-    keep = coded.where((F.col("flip") == 0) | (F.col("cell") > F.col("code")))
-    return keep.select("hi", "lo", "n", "cell", F.when(F.col("flip") == 0, 0).otherwise(1).alias("role"))
-
-
-_EDGE = "hi_a long, lo_a long, n_a long, hi_b long, lo_b long, n_b long, distance long"
-
-
-def _search(fps: DataFrame, radius: int, shard: int, forest: bool) -> DataFrame:
+def _distance(v: np.ndarray) -> Column:
+    return F.bit_count(F.col("hi").bitwiseXOR(F.lit(int(v[:1].view(np.int64)[0])))) + F.bit_count(F.col("lo").bitwiseXOR(F.lit(int(v[1:].view(np.int64)[0]))))
+
+
+def _in_shards(fps: DataFrame, n: int, radius: int, shard: int) -> DataFrame:
+    """hi, lo, at (own shard), s, t: each fingerprint once for every pair of shards (s <= t) that it is compared in."""
+    shards = max(1, -(-n // shard))
+    far = [_distance(v) for v in _VANTAGE]
+    code = sum((F.when(d > 64, 1 << (len(far) - 1 - j)).otherwise(0) for j, d in enumerate(far)), F.lit(0))
+    placed = written(fps.withColumn("code", code).repartitionByRange(shards, "code", "hi", "lo").withColumn("at", F.spark_partition_id()).drop("code"))
+    edges = placed.groupBy("at").agg(*(f(d).alias(f"{f.__name__}{j}") for j, d in enumerate(far) for f in (F.min, F.max))).orderBy("at").collect()  # a row per shard: BLOCKS_FROM / SHARD at most
+    at = np.array([r["at"] for r in edges])
+    low, high = (np.array([[r[f"{f}{j}"] for j in range(len(far))] for r in edges]).reshape(-1, len(far)) for f in ("min", "max"))
+    meets = [(int(at[i]), int(at[j])) for i in range(len(at)) for j in i + np.flatnonzero(((low[i:] - high[i] <= radius) & (low[i] - high[i:] <= radius)).all(axis=1))]
+    ends = [(s, s, t) for s, t in meets] + [(t, s, t) for s, t in meets if s != t]
+    return placed.join(F.broadcast(fps.sparkSession.createDataFrame(ends, "at int, s int, t int")), "at").withColumn("bucket", F.xxhash64("s", "t"))
+
+
+def _in_blocks(fps: DataFrame, n: int, shard: int) -> DataFrame:
+    """The same by pigeonhole: of every fingerprint, each block with at most two of its bits changed; a value that very many share is cut into shards too."""
+    cut = lambda c, high: F.shiftrightunsigned(c, 32) if high else c.bitwiseAND(F.lit((1 << 32) - 1))
+    blocks = F.array(*(F.struct(F.lit(k).alias("k"), cut(F.col(c), high).alias("v")) for k, (c, high) in enumerate((("hi", True), ("hi", False), ("lo", True), ("lo", False)))))
+    flips = F.array(*(F.lit(f).cast("long") for f in _FLIPS))
+    each = fps.withColumn("b", F.explode(blocks)).select("hi", "lo", "b.k", "b.v")
+    spread = lambda df: df.withColumn("v", F.explode(F.transform(flips, lambda f: F.col("v").bitwiseXOR(f))))
+    hot = spread(each.groupBy("k", "v").count().where(F.col("count") > shard)).groupBy("k", "v").agg(F.sum("count").alias("many"))
+    hot = stored(hot.select("k", "v", F.ceil(F.col("many") / shard).cast("int").alias("parts")))
+    met = spread(each)
+    if small(hot, 0):
+        met = met.withColumns({"at": F.lit(0), "s": F.lit(0), "t": F.lit(0)})
+    else:
+        met = met.join(maybe_broadcast(hot), ["k", "v"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        met = met.withColumn("at", F.pmod(F.xxhash64("hi", "lo"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        met = met.withColumns({"s": F.least("at", "other"), "t": F.greatest("at", "other")}).drop("other", "parts")
+    buckets = max(1, -(-n * 4 * len(_FLIPS) // BUCKET))
+    return met.withColumn("bucket", F.pmod(F.xxhash64("k", "v", "s", "t"), F.lit(buckets)))
+
+
+_FOUND = "hi_a long, lo_a long, hi_b long, lo_b long, number long"
+
+
+def _near(bits: np.ndarray, cell: np.ndarray, at: np.ndarray, s: np.ndarray, t: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, distance) of the near pairs of every cell: rows of equal ``cell``, which are side by side, in shards ``s`` and ``t`` of it."""
+    begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(cell)))
+    few = (size <= LEAF) & (s[begin] == t[begin])
+    # small cells all at once: each row with the next, with the one after that, and so on
+    i, step = np.flatnonzero(np.repeat(few, size)), 1
+    while len(i):
+        i = i[i + step < len(cell)]
+        i = i[cell[i] == cell[i + step]]
+        for k in range(0, len(i), PAIRS_AT_ONCE):
+            a = i[k : k + PAIRS_AT_ONCE]
+            d = np.bitwise_count(bits[a, 0] ^ bits[a + step, 0])
+            d += np.bitwise_count(bits[a, 1] ^ bits[a + step, 1])
+            hit = d <= radius
+            if hit.any():
+                yield a[hit], a[hit] + step, d[hit].astype(np.int64)
+        step += 1
+    for b, n in zip(begin[~few].tolist(), size[~few].tolist()):
+        rows = np.arange(b, b + n)
+        data, query = rows[at[rows] == s[b]], rows[at[rows] == t[b]]
+        if len(data) and len(query):
+            for x, y, d in shard_pairs(bits[query], bits[data], bool(s[b] == t[b]), radius):
+                yield query[x], data[y], d
+
+
+def _meets_here(bits: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Whether block ``k`` is the first in which a pair differs in at most four bits, and ``v`` the value half way: so of all the cells in which a pair meets, one counts it."""
+    blocks = lambda r: np.stack([bits[r, 0] >> np.uint64(32), bits[r, 0], bits[r, 1] >> np.uint64(32), bits[r, 1]], axis=1).astype(np.uint32)
+    lesser = (bits[a, 0] < bits[b, 0]) | ((bits[a, 0] == bits[b, 0]) & (bits[a, 1] < bits[b, 1]))
+    from_, to = blocks(np.where(lesser, a, b)), blocks(np.where(lesser, b, a))
+    row = np.arange(len(a))
+    diff = from_ ^ to
+    first = (np.bitwise_count(diff) <= 4).argmax(axis=1)
+    d = diff[row, first]
+    half = np.bitwise_count(d) // 2
+    one = d & (~d + np.uint32(1))
+    rest = d ^ one
+    two = rest & (~rest + np.uint32(1))
+    change = np.where(half > 0, one, 0) | np.where(half > 1, two, 0)
+    return (k == first) & (v.astype(np.uint32) == from_[row, first] ^ change.astype(np.uint32))
+
+
+def _search(fps: DataFrame, radius: int, shard: int, forest: bool, blocks_from: int = BLOCKS_FROM) -> DataFrame:
+    """Near pairs of distinct fingerprints (hi_a, lo_a, hi_b, lo_b, number: the distance), each once.
+
+    If ``forest``, of every task only a spanning forest of its pairs; and, with hi_b and lo_b null, the number of pairs that a fingerprint (hi_a, lo_a) has in the task.
+    """
     ship(fps.sparkSession)
+    n = fps.count()
+    by_block = n >= blocks_from and radius < 20
+    met = _in_blocks(fps, n, shard) if by_block else _in_shards(fps, n, radius, shard)
+    names = ["k", "v", "s", "t"] if by_block else ["s", "t"]
 
     def task(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy() for c in ("hi", "lo", "n", "role")}
-        fp = np.stack([col["hi"], col["lo"]], 1)
-        data, query = np.flatnonzero(col["role"] == 0), np.flatnonzero(col["role"] == 1)
-        bits, n = fp.view(np.uint64), col["n"]
-        tree = Forest(len(n))
-        left, right, dist = [], [], []
-        for own, q in ((True, data), (False, query)):
-            if not len(q) or not len(data):
-                continue
-            for a, b, d in shard_pairs(bits[q], bits[data], own, radius):
-                a, b = q[a], data[b]
-                if forest:
-                    tree.add(a, b, d)
-                else:
-                    left.append(a), right.append(b), dist.append(d)
-        if forest:
-            e = np.array(tree.edges, np.int64).reshape(-1, 3)
-            a, b, d = e[:, 0], e[:, 1], e[:, 2]
-        else:
-            cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            a, b, d = cat(left), cat(right), cat(dist)
-        cols = {f"{c}_{s}": fp[r, i] if i < 2 else n[r] for s, r in (("a", a), ("b", b)) for i, c in enumerate(("hi", "lo", "n"))}
-        return pa.table(cols | {"distance": d})
-
-    return _shards(fps, radius, shard).groupBy("cell").applyInArrow(task, _EDGE)
-
-
-def distinct_fingerprints(table: DataFrame) -> DataFrame:
-    """Each fingerprint once: hi, lo, n (least of its rows' word counts), rows."""
-    return table.groupBy("hi", "lo").agg(F.min("n").alias("n"), F.count("*").alias("rows"))
-
-
-def pairs(table: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """All near pairs of distinct fingerprints and word counts (hi_a, lo_a, n_a, hi_b, lo_b, n_b, distance), each once, of a ``fingerprint_table``."""
-    return _search(stored(table.select("hi", "lo", "n").distinct()), radius, shard, forest=False)
+        cols = [table.column(c).to_numpy() for c in names]
+        order = np.lexsort(cols)
+        cols = [c[order] for c in cols]
+        at = table.column("at").to_numpy()[order]
+        fp = np.stack([table.column(c).to_numpy()[order] for c in ("hi", "lo")], 1)
+        bits = np.ascontiguousarray(fp).view(np.uint64)
+        cell = np.cumsum(np.concatenate([[0], np.any([c[1:] != c[:-1] for c in cols], axis=0).astype(np.int64)])) if len(at) else np.zeros(0, np.int64)
+        links, tree = np.zeros(len(at), np.int64), Forest(len(at))
+        found: list[tuple] = []
+        for a, b, d in _near(bits, cell, at, cols[-2], cols[-1], radius):
+            if by_block:
+                once = _meets_here(bits, a, b, cols[0][a], cols[1][a])
+                a, b, d = a[once], b[once], d[once]
+            if forest:
+                tree.add(a, b, d)
+                links += np.bincount(a, minlength=len(links)) + np.bincount(b, minlength=len(links))
+            else:
+                found.append((a, b, d))
+        e = np.array(tree.edges, np.int64).reshape(-1, 3)
+        a, b, d = (np.concatenate([e[:, i], *(f[i] for f in found)]).astype(np.int64) for i in range(3))
+        who = np.flatnonzero(links)
+        none = np.concatenate([np.zeros(len(a), bool), np.ones(len(who), bool)])
+        left, right = fp[np.concatenate([a, who])], fp[np.concatenate([b, who])]
+        released()
+        return pa.table({"hi_a": left[:, 0], "lo_a": left[:, 1], "hi_b": pa.array(right[:, 0], mask=none), "lo_b": pa.array(right[:, 1], mask=none), "number": np.concatenate([d, links[who]])})
+
+    return met.groupBy("bucket").applyInArrow(task, _FOUND)
+
+
+def distinct_fingerprints(table: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Each fingerprint of a ``fingerprint_table`` once: hi, lo, rows, and of its first row (null ids last, then by id, by hash of the text) the id and hash, ``best``."""
+    row = F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("i"), F.col("__wl_key").alias("k"))
+    return table.groupBy("hi", "lo").agg(F.count("*").alias("rows"), F.min(row).alias("best"))
+
+
+def pairs(table: DataFrame, radius: int = RADIUS, shard: int = SHARD, blocks_from: int = BLOCKS_FROM) -> DataFrame:
+    """All near pairs of distinct fingerprints of a ``fingerprint_table`` (hi_a, lo_a, hi_b, lo_b, distance), each once, in either order."""
+    return _search(stored(table.select("hi", "lo").distinct()), radius, shard, False, blocks_from).withColumnRenamed("number", "distance")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -278,50 +373,49 @@ def components(edges: DataFrame) -> DataFrame:
         e = nxt
 
 
-def labelled(table: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """The rows of a stored ``fingerprint_table`` that are in a group of at least two, with ``root`` naming the group."""
-    distinct = stored(distinct_fingerprints(table).withColumn("node", F.xxhash64("hi", "lo")))
-    found = _search(distinct.select("hi", "lo", "n"), radius, shard, forest=True)
-    edges = found.select(F.xxhash64("hi_a", "lo_a").alias("a"), F.xxhash64("hi_b", "lo_b").alias("b"))
-    comp = components(edges)
-    named = distinct.join(comp, "node", "left").where(F.col("root").isNotNull() | (F.col("rows") > 1)).select("hi", "lo", F.coalesce("root", "node").alias("root"))
-    return table.join(named, ["hi", "lo"])
+def labelled(table: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, shard: int = SHARD, blocks_from: int = BLOCKS_FROM) -> DataFrame:
+    """hi, lo, rows, links (near fingerprints), keep (first row of the group: x, i, k) of every fingerprint that is in a group of at least two rows."""
+    distinct = stored(distinct_fingerprints(table, id_col).withColumn("node", F.xxhash64("hi", "lo")))
+    found = stored(_search(distinct.select("hi", "lo"), radius, shard, True, blocks_from))
+    edges = found.where("hi_b is not null").select(F.xxhash64("hi_a", "lo_a").alias("a"), F.xxhash64("hi_b", "lo_b").alias("b"))
+    links = found.where("hi_b is null").groupBy(F.col("hi_a").alias("hi"), F.col("lo_a").alias("lo")).agg(F.sum("number").alias("links"))
+    comp = stored(components(edges))
+    members = distinct.join(maybe_broadcast(comp), "node", "left").where(F.col("root").isNotNull() | (F.col("rows") > 1)).withColumn("root", F.coalesce("root", "node"))
+    members = stored(members.join(maybe_broadcast(links), ["hi", "lo"], "left"))
+    first = members.groupBy("root").agg(F.min("best").alias("keep"))
+    return stored(members.join(maybe_broadcast(first), "root").select("hi", "lo", "rows", F.coalesce("links", F.lit(0)).alias("links"), "keep"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """One row per group of near duplicates: group_id (least id), doc_ids (ascending), n_rows.
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD, blocks_from: int = BLOCKS_FROM) -> DataFrame:
+    """One row per row of ``docs`` that has near duplicates or copies: id, group_id (least id of the group), n_links (other fingerprints within the radius), n_copies (rows of this very fingerprint).
 
-    Null and empty texts are in no group; texts without words are only with exact copies.  Repeated rows are exact copies: their id is
-    listed once, n_rows counts them; a group of one id may thus have several rows.  Null ids count in
-    n_rows only.  Groups are connected components: two members may be further apart than the radius.
+    Null and empty texts are in no group; texts without words are only with exact copies.  Repeated rows are copies of each other
+    and have a row each.  Null ids have a row too; group_id is null if the group has no other ids.  Groups are connected
+    components: two members may be further apart than the radius.  An empty table has no groups.  Very long texts are taken whole.
     """
     table = stored(fingerprint_table(docs, id_col, text_col))
-    rows = labelled(table, id_col, radius, shard)
-    return rows.groupBy("root").agg(F.min(id_col).alias("group_id"), F.array_sort(F.collect_set(id_col)).alias("doc_ids"), F.count("*").alias("n_rows")).drop("root")
+    named = labelled(table, id_col, radius, shard, blocks_from)
+    return table.join(maybe_broadcast(named), ["hi", "lo"]).select(id_col, F.col("keep.i").alias("group_id"), F.col("links").alias("n_links"), F.col("rows").alias("n_copies"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD, blocks_from: int = BLOCKS_FROM) -> DataFrame:
     """``docs`` with one row of each group: the one of least id (nulls last, then by hash of the text).
 
     Rows with null or empty texts stay, repeated ones too: they have no fingerprint.  Of repeated rows of a group's
-    kept document one stays.
+    kept document one stays.  An empty table stays empty; columns of any name pass through.
     """
     table = stored(fingerprint_table(docs, id_col, text_col))
-    rows = labelled(table, id_col, radius, shard)
-    dup = stored(rows.groupBy("root", F.col(id_col).alias("__wl_id"), "__wl_key").agg(F.count("*").alias("copies")))
-    best = dup.groupBy("root").agg(F.min(F.struct(F.col("__wl_id").isNull().alias("x"), F.col("__wl_id").alias("i"), F.col("__wl_key").alias("k"), F.col("copies"))).alias("best"))
-    keepers = best.select("root", F.col("best.i").alias("__wl_id"), F.col("best.k").alias("__wl_key"), F.col("best.copies").alias("copies"))
-    same = lambda a, b: [a["__wl_id"].eqNullSafe(b["__wl_id"]), a["__wl_key"] == b["__wl_key"]]
-    drop = dup.join(keepers, (dup["root"] == keepers["root"]) & same(dup, keepers)[0] & same(dup, keepers)[1], "left_anti").select("__wl_id", "__wl_key")
-    more = keepers.where("copies > 1").select("__wl_id", "__wl_key")
+    named = labelled(table, id_col, radius, shard, blocks_from)
+    marked = table.join(maybe_broadcast(named), ["hi", "lo"]).select(F.col(id_col).alias("__wl_id"), "__wl_key", (F.col(id_col).eqNullSafe(F.col("keep.i")) & (F.col("__wl_key") == F.col("keep.k"))).alias("keeper"))
+    counted = stored(marked.groupBy("__wl_id", "__wl_key", "keeper").agg(F.count("*").alias("copies")))
+    drop, more = (counted.where(c).select("__wl_id", "__wl_key") for c in ("not keeper", "keeper and copies > 1"))
     keyed = docs.withColumns({"__wl_k": F.xxhash64(F.col(text_col).cast("string"))})
 
     def without(df: DataFrame, gone: DataFrame, how: str) -> DataFrame:
         g = gone.select(F.col("__wl_id").alias("__wl_gi"), F.col("__wl_key").alias("__wl_gk"))
         return df.join(g, (df["__wl_k"] == g["__wl_gk"]) & df[id_col].eqNullSafe(g["__wl_gi"]), how)
 
-    kept = without(keyed, maybe_broadcast(stored(drop)), "left_anti")
-    more = stored(more)
+    kept = without(keyed, maybe_broadcast(drop), "left_anti")
     if not small(more, 0):  # repeated rows of a kept document: rare, so only these are shuffled
         hint = maybe_broadcast(more)
         kept = without(kept, hint, "left_anti").unionByName(without(kept, hint, "left_semi").dropDuplicates([id_col, "__wl_k"]))
