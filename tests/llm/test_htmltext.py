@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from html.parser import HTMLParser
 
 from tests.llm import fixtures as fx
@@ -98,6 +99,39 @@ def test_misnested_and_odd_pages():
     assert ht.extract_one("text only").text == "text only" and ht.extract_one("&amp;&#x41;").text == "&A"
 
 
+def test_entities_count_as_characters():
+    spelled = PAGE.replace("real", "&#114;eal").replace("prose", "pros&#x65;").replace("so that", "so&nbsp;that")
+    plain_, coded = ht.extract_one(PAGE), ht.extract_one(spelled)
+    assert (plain_.tag, plain_.threshold, plain_.text) == (coded.tag, coded.threshold, coded.text)
+    nodes = ht.parse("<body><p>&nbsp;&amp;&lt;b&gt; x</p></body>")
+    ht.weigh(nodes)
+    assert [n.chars for n in nodes if n.tag == "p"] == [5]
+
+
+def test_ties_go_to_the_first():
+    html = "<body><div id=1><p>same text here</p><p>same text here</p></div><section><p>same text here</p><p>same text here</p></section></body>"
+    assert ht.extract_one(html).tag in ("div", "body")
+    two = "<body><div><p>same text</p></div><section><p>same text</p></section></body>"
+    nodes = ht.parse(two)
+    ht.weigh(nodes)
+    best, _ = ht.select(nodes)
+    assert best == min(i for i, n in enumerate(nodes) if n.sum == max(x.sum for x in nodes[1:]) and i)
+
+
+def test_malformed_pages_take_linear_time():
+    """Twice the page, about twice the time: unclosed quotes, stray ends, ends beyond a scope."""
+    for make in (lambda n: "<a '" * n, lambda n: "<a \"x' " * n, lambda n: "<!" * n, lambda n: "<b>" * n + "</i>" * n, lambda n: "<b><div>" + "<i>" * n + "</b>" * n, lambda n: "<li>" + "<i>" * n + "<p>" * n, lambda n: "<x \"<x\" '" * n, lambda n: "<script " * n):
+        start = time.perf_counter()
+        ht.extract_one(make(60_000))
+        assert time.perf_counter() - start < 6, make(2)
+
+
+def test_unclosed_quotes_and_brackets():
+    assert ht.extract_one("<body><a href='x>one</a> <p>two</p></body>").text.split("\n") == ["one", "two"]
+    assert ht.extract_one('<body><a title="a > b <c>">one</a></body>').text == "one"
+    assert ht.extract_one("<body>1 < 2 <b>three</b></body>").text == "1 < 2 three"
+
+
 def test_awkward_rows(spark):
     kind = "page_id long, url string, html string, title string, text string, tag int, threshold string, n_chars int"
     row = lambda i, h: (i, "u", h, "t", "x", 1, "y", 2)

@@ -20,8 +20,11 @@ from pyspark.sql import types as T
 
 from weftline.llm.common import field, over_texts, ship, texts_of
 
+_REST = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+#: Comments, elements whose content isn't text, declarations, tags.  A tag ends before an unquoted ``<``; one whose quote never closes
+#: ends at the next bracket.  Nothing is tried again, so an unclosed quote doesn't make every tag scan the rest of the page.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|iframe|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b(?:{_REST}|[^<>]*+)>.*?(?:</\1\s*+>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)(?:({_REST})|([^<>]*+))>", re.S | re.I
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul br".split())
@@ -49,11 +52,22 @@ def parse(html: str) -> list[Node]:
     """The page's nodes in document order, the root first; unclosed, stray and misnested tags are put up with."""
     nodes = [Node("#root", -1)]
     open_: list[int] = [0]
+    where: dict[str, list[int]] = {}  # of each tag, the places in open_ where it is
+    scopes: list[int] = []  # places of scoping tags
     at = 0
 
     def text(piece: str) -> None:
         if piece:
-            nodes[open_[-1]].parts.append(piece)
+            nodes[open_[-1]].parts.append(unescape(piece) if "&" in piece else piece)
+
+    def cut(k: int) -> None:
+        """Closes all from place ``k`` on; what was opened is closed once, so a page takes linear time."""
+        for i in range(len(open_) - 1, k - 1, -1):
+            tag = nodes[open_[i]].tag
+            where[tag].pop()
+            if tag in _SCOPE:
+                scopes.pop()
+        del open_[k:]
 
     for m in _TOKEN.finditer(html):
         text(html[at : m.start()])
@@ -63,26 +77,23 @@ def parse(html: str) -> list[Node]:
             continue
         name = name.lower()
         if m.group(2):
-            for k in range(len(open_) - 1, 0, -1):
-                if nodes[open_[k]].tag == name:
-                    del open_[k:]
-                    break
-                if nodes[open_[k]].tag in _SCOPE and name not in _SCOPE:
-                    break
+            places = where.get(name)
+            if places and (name in _SCOPE or not scopes or scopes[-1] < places[-1]):
+                cut(places[-1])
             continue
-        shut = CLOSES.get(name)
-        if shut:
-            for k in range(len(open_) - 1, 0, -1):
-                tag = nodes[open_[k]].tag
-                if tag in shut:
-                    del open_[k:]
-                    if name not in ("tr", "td", "th"):
-                        break
-                elif tag in _SCOPE:
-                    break
+        shut = CLOSES.get(name, ())
+        while k := max((where[t][-1] for t in shut if where.get(t)), default=0):
+            if scopes and scopes[-1] > k:
+                break
+            cut(k)
+            if name not in ("tr", "td", "th"):
+                break
         nodes.append(Node(name, open_[-1]))
         nodes[open_[-1]].parts.append(len(nodes) - 1)
-        if name not in VOID and not m.group(4).endswith("/"):
+        if name not in VOID and not (m.group(4) or m.group(5) or "").endswith("/"):
+            where.setdefault(name, []).append(len(open_))
+            if name in _SCOPE:
+                scopes.append(len(open_))
             open_.append(len(nodes) - 1)
     text(html[at:])
     return nodes
@@ -149,7 +160,7 @@ def lines(nodes: list[Node], top: int, threshold: float) -> Iterator[str]:
         # line ends of the source are spaces; those of blocks are marks of their own
         todo += [p.replace("\n", " ") if p.__class__ is str else p for p in reversed(n.parts)]
     for line in "".join(out).split("\n"):
-        line = _SPACE.sub(" ", unescape(line)).strip()
+        line = _SPACE.sub(" ", line).strip()
         if line:
             yield line
 
@@ -174,7 +185,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """One row per row of ``pages``: id, title, text, tag (of the node selected), threshold, n_chars.
 
     Null html: title, text, tag and threshold null, n_chars null.  Empty html and html without text: empty text.
-    Repeated rows: a row each.  Scripts, styles and comments aren't text.  Other columns are ignored.
+    Repeated rows: a row each.  Scripts, styles and comments aren't text.  Of nodes with equal density sums the first is selected.
+    Entities count as the characters they stand for.  An empty table gives none; pages of any length and however malformed
+    take linear time.  Other columns are ignored.
     """
     ship(pages.sparkSession)
     schema = T.StructType([field(pages, id_col), *(T.StructField(c, T.StringType()) for c in ("title", "text", "tag")), T.StructField("threshold", T.DoubleType()), T.StructField("n_chars", T.LongType())])
