@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gzip
+import os
+import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from weftline.llm import queries, warc
@@ -55,3 +58,27 @@ def test_damage_is_skipped(spark, tmp_path):
     assert sorted(r["target_uri"] for r in got) == ["a", "b"] and {bytes(r["payload"]) for r in got} == {b"abc"}
     (tmp_path / "empty.warc.gz").write_bytes(b"")
     assert warc.read(spark, [str(tmp_path / "empty.warc.gz")]).count() == 0
+
+
+def test_large_members_take_linear_time_and_damage_is_read_again():
+    """A record of many blocks is decompressed as it is read; where one is damaged far behind its header, the next is still found."""
+    big = os.urandom(24 << 20)
+    whole = gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\n\r\n" + big, 1)
+    small = gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\n\r\nabc", 1)
+    start = time.perf_counter()
+    got = list(warc.members(pa.BufferReader(whole + small), 0, 1 << 40))
+    assert [len(x) for _, x in got] == [len(big) + 33, 36] and time.perf_counter() - start < 4
+    damaged = bytearray(whole)
+    damaged[-12] ^= 255
+    damaged[5_000_000:5_000_000] = small  # inside the damaged one
+    offsets = [at for at, _ in warc.members(pa.BufferReader(bytes(damaged) + small), 0, 1 << 40)]
+    assert offsets == [5_000_000, len(damaged)]
+
+
+def test_folders_and_globs(spark, tmp_path):
+    for name in ("a/x.warc.gz", "a/b/y.warc.gz", "c d.warc.gz"):
+        at = tmp_path / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(gzip.compress(f"WARC/1.0\r\nWARC-Target-URI: {name}\r\n\r\nabc".encode()))
+    uris = lambda *paths: sorted(r["target_uri"] for r in warc.read(spark, [str(tmp_path / p) for p in paths]).collect())
+    assert uris("a") == ["a/b/y.warc.gz", "a/x.warc.gz"] and uris("*.warc.gz", "*.warc.gz") == ["c d.warc.gz"]

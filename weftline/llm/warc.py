@@ -43,11 +43,15 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _Window:
-    """Bytes of a file from a place on, read block by block as they are asked for."""
+    """Some bytes of a file from a place on, read block by block as they are asked for."""
 
     def __init__(self, file: pa.NativeFile, at: int):
-        self.file, self.base, self.data, self.eof = file, at, b"", False
-        file.seek(at)
+        self.file = file
+        self.seek(at)
+
+    def seek(self, at: int) -> None:
+        self.base, self.data, self.eof = at, b"", False
+        self.file.seek(at)
 
     def more(self) -> bool:
         block = b"" if self.eof else self.file.read(BLOCK)
@@ -62,13 +66,14 @@ class _Window:
 
 
 def _member(w: _Window, at: int) -> tuple[bytes, int] | None:
-    """The member that starts at ``at`` and where it ends, or None if no WARC record starts there."""
+    """The member that starts at ``at`` and where it ends, or None if no WARC record starts there. What was decompressed is forgotten block by block."""
     z = zlib.decompressobj(31)
     out: list[bytes] = []
     head = b""
     pos = at
     try:
         while True:
+            w.drop(pos)
             if pos - w.base >= len(w.data) and not w.more():
                 return None  # cut off
             piece = w.data[pos - w.base : pos - w.base + STEP]
@@ -107,6 +112,8 @@ def members(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int, by
         got = _member(w, at)
         if got is None:
             at += 1
+            if at < w.base:  # read on before the damage was seen
+                w.seek(at)
         else:
             yield at, got[0]
             at = got[1]
@@ -139,14 +146,13 @@ def http(block: bytes) -> tuple[int | None, bytes]:
 
 
 def splits(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """path, start, end: byte ranges of the files, spread over the cluster."""
-    rows = []
-    for path in paths:
-        fs, p = _open(path)
-        size = fs.get_file_info(p).size or 0
-        rows += [(path, a, min(a + split_bytes, size)) for a in range(0, size, split_bytes)]
-    df = spark.createDataFrame(rows, "path string, start long, end long")
-    return df.repartition(max(1, len(rows)), "path", "start") if len(rows) > 1 else df
+    """path, start, end: byte ranges of the files, spread over the cluster.  Spark lists them: files, folders or globs of any file system it knows."""
+    if not paths:
+        return spark.createDataFrame([], "path string, start long, end long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(sorted(set(paths))).where("length > 0").select("path", "length")  # without their content
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long")))
+    ranges = files.select("path", "length", start.alias("start")).select("path", "start", F.least(F.col("start") + split_bytes, F.col("length")).alias("end"))
+    return ranges.repartition(max(1, ranges.count()), "path", "start")
 
 
 def read(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -154,7 +160,7 @@ def read(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES)
 
     For a response over HTTP the payload is the body, else the record's block.  Absent header fields are null.
     Bytes between members, cut-off last members and members that aren't WARC records are skipped; empty files and no
-    paths give no rows.  A path that is listed twice is read twice.
+    paths give no rows.  A path that is listed twice is read once.  A very long record is a row like any other.
     """
     ship(spark)
 
