@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from tests.llm import fixtures as fx
-from weftline.llm import langid
+from weftline.llm import langid, queries
 
 SAMPLES = {
     "en": "the house that stands by the water was built when the town had only two streets and nobody had thought of trains",
@@ -25,6 +25,66 @@ def test_held_out_accuracy(spark):
     assert all(r["family"] == langid.family_of(r["language"]) for r in got)
 
 
+def plain_features(text: str) -> np.ndarray:
+    """Trigram by trigram."""
+    raw = [b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode()]
+    out = np.zeros(langid.BUCKETS)
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        code = a << 16 | b << 8 | c
+        if code != 0x202020:
+            out[code * 2654435761 % 2**32 >> 19] += 1
+    return out / max(np.sqrt((out * out).sum()), 1e-9)
+
+
+def test_registered_query_equals_brute_force(spark, sf):
+    """Every document's features trigram by trigram, every machine by itself, every vote counted."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    got = {r["doc_id"]: r for r in queries.op1_language_id(spark, sf).collect()}
+    for r in docs.collect():
+        x = langid.features(pa.array([r["text"]]))[0] if len(r["text"] or "") > 3000 else plain_features(r["text"] or "")
+        if not x.any():
+            assert got[r["doc_id"]]["language"] == "und"
+            continue
+        scores = [float(x @ w[:-1] + w[-1]) for w in model.family_w.T]
+        best = sorted(scores)[::-1]
+        family = model.families[scores.index(best[0])]
+        votes = {la: [0, 0.0] for la in model.members[family]}
+        for (a, b), w in model.pair_w.items():
+            if a in votes and b in votes:
+                s = float(x @ w[:-1] + w[-1])
+                for la, gain in ((a, s), (b, -s)):
+                    votes[la][0] += gain > 0 or (gain == 0 and la == a)
+                    votes[la][1] += gain
+        language = max(sorted(votes), key=lambda la: tuple(votes[la]))
+        assert (got[r["doc_id"]]["family"], got[r["doc_id"]]["language"]) == (family, language)
+        assert abs(got[r["doc_id"]]["margin"] - (best[0] - best[1])) < 1e-3
+
+
+def test_features_of_a_long_text_do_not_depend_on_the_pieces(monkeypatch):
+    texts = pa.array(["été " * 300, "", "ab", "x" * 1000 + " the end", None, "a", "the quick brown fox"])
+    whole = langid.features(texts)
+    for piece in (7, 64, 1001):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert np.array_equal(langid.features(texts), whole)
+
+
+def test_the_sample_is_bounded_and_copies_count_once(spark):
+    df = fx.docs(spark, *["same text"] * 400, *[f"text number {i}" for i in range(100)])
+    sample = langid.training_sample(df, per_language=20).collect()
+    assert len(sample) <= 20 and len({r["text"] for r in sample}) == len(sample) > 5
+    assert [r["text"] for r in langid.training_sample(fx.docs(spark, *["same text"] * 400)).collect()] == ["same text"]
+
+
+def test_ties_of_votes_go_to_the_larger_margins_then_the_first_name():
+    w = lambda v: np.append(np.eye(1, langid.BUCKETS, dtype=np.float32)[0] * v, 0).astype(np.float32)
+    x = np.eye(1, langid.BUCKETS, dtype=np.float32)
+    circle = langid.Model(["f"], {"f": ["a", "b", "c"]}, np.zeros((langid.BUCKETS + 1, 1), np.float32), {("a", "b"): w(1), ("a", "c"): w(-2), ("b", "c"): w(3)})
+    assert circle.predict(x)[1] == ["b"]  # a over b by 1, c over a by 2, b over c by 3: a vote each
+    flat = langid.Model(["f"], {"f": ["a", "b", "c"]}, np.zeros((langid.BUCKETS + 1, 1), np.float32), {("a", "b"): w(1), ("a", "c"): w(-1), ("b", "c"): w(1)})
+    assert flat.predict(x)[1] == ["a"]
+
+
 def test_family_first_then_pairs():
     texts = [" ".join(SAMPLES[k].split()[i : i + 12]) for k in SAMPLES for i in range(8)]
     model = langid.fit_rows(texts, [k for k in SAMPLES for _ in range(8)])

@@ -1,8 +1,8 @@
 """Language identification in two steps: family first, then one-versus-one linear SVMs within it.
 
 Features are hashed byte trigrams of the whole lower-cased text, as shares of the text's trigrams.
-The models are fitted on a bounded sample of labelled rows (``per_language``); prediction covers all
-rows in one pass without a shuffle.
+The models are fitted on a bounded sample of labelled rows (``per_language``), whose texts stay on the executors: the driver
+gets their features.  Prediction covers all rows in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from weftline.llm.common import field, over_texts, raw_bytes, ship, texts_of
+from weftline.llm.common import PIECE, field, over_texts, raw_bytes, ship, small, texts_of
 
 #: Language families; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -28,10 +29,8 @@ FAMILIES = {
     "indic": ("hi", "bn", "mr", "ur", "pa", "gu"),
 }
 BUCKETS = 1 << 13
-#: Labelled rows per language that the models are fitted on, at most: a bound of the training sample.
+#: Labelled rows per language that the models are fitted on, at most: a bound of the training sample. Their texts are taken whole.
 PER_LANGUAGE = 300
-#: Bytes of a training text above which it isn't drawn: keeps the sample small on the driver.
-TRAIN_BYTES = 1 << 16
 UNKNOWN = "und"
 
 
@@ -45,19 +44,27 @@ def features(texts: pa.Array) -> np.ndarray:
     rows = len(off) - 1
     if not len(buf):
         return np.zeros((rows, BUCKETS), np.float32)
-    x = buf.astype(np.uint32)
-    x[buf < 97] = 32  # digits, punctuation and spaces say nothing of the language
-    x[(buf > 122) & (buf < 128)] = 32
-    code = x.copy()
-    code[1:] |= x[:-1] << np.uint32(8)
-    code[2:] |= x[:-2] << np.uint32(16)
-    ok = code & np.uint32(0xFFFFFF) != 0x202020
+    count = np.zeros(rows * BUCKETS, np.int64)
     first = off[:-1][np.diff(off) > 0]
-    ok[first] = False
-    ok[np.minimum(first + 1, len(ok) - 1)] = False
-    bucket = ((code * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int64)
-    doc = np.repeat(np.arange(rows) * BUCKETS, np.diff(off))
-    count = np.bincount((bucket + doc)[ok], minlength=rows * BUCKETS).reshape(rows, BUCKETS).astype(np.float32)
+    for i in range(0, len(buf), PIECE):  # bounds memory, not the result: the two bytes before a piece come with it
+        at = max(i - 2, 0)
+        part = buf[at : i + PIECE]
+        x = part.astype(np.uint32)
+        x[part < 97] = 32  # digits, punctuation and spaces say nothing of the language
+        x[(part > 122) & (part < 128)] = 32
+        code = x.copy()
+        code[1:] |= x[:-1] << np.uint32(8)
+        code[2:] |= x[:-2] << np.uint32(16)
+        ok = code & np.uint32(0xFFFFFF) != 0x202020
+        ok[: i - at] = False
+        begins = first[(first >= at - 1) & (first < at + len(part))] - at
+        ok[begins[begins >= 0]] = False
+        begins = begins[begins + 1 < len(ok)] + 1
+        ok[begins[begins >= 0]] = False
+        bucket = ((code * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int64)
+        doc = np.searchsorted(off, np.arange(at, at + len(part)), side="right") - 1 if rows > 1 else np.zeros(len(part), np.int64)
+        count += np.bincount((bucket + doc * BUCKETS)[ok], minlength=rows * BUCKETS)
+    count = count.reshape(rows, BUCKETS).astype(np.float32)
     norm = np.sqrt((count * count).sum(axis=1, keepdims=True))
     return count / np.maximum(norm, 1e-9)
 
@@ -115,9 +122,9 @@ class Model:
         return list(family), list(lang), margin
 
 
-def fit_rows(texts: list[str], langs: list[str]) -> Model:
-    """A model from labelled texts. One language or family alone is always predicted."""
-    x, y = features(pa.array(texts, pa.string())), np.array(langs, object)
+def fit_features(x: np.ndarray, langs: list[str]) -> Model:
+    """A model from the features of labelled texts. One language or family alone is always predicted."""
+    y = np.array(langs, object)
     fam = np.array([family_of(v) for v in langs], object)
     families = sorted(set(fam))
     ws = [linear_svm(x, np.where(fam == f, 1, -1)) if len(families) > 1 else np.zeros(BUCKETS + 1, np.float32) for f in families]
@@ -130,28 +137,37 @@ def fit_rows(texts: list[str], langs: list[str]) -> Model:
     return Model(families, members, np.stack(ws, axis=1) if ws else np.zeros((BUCKETS + 1, 0), np.float32), pairs)
 
 
-def training_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> list:
-    """At most ``per_language`` labelled rows per language, drawn by hash of the text; bounded whatever the size."""
-    has = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.octet_length(text_col).between(1, TRAIN_BYTES))
-    drawn = has.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("draw"), F.col(text_col).alias("text"))
-    rate = drawn.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    cut = {r["lang"]: min(1.0, 1.3 * per_language / r["n"]) for r in rate}
-    if not cut:
-        return []
-    share = F.create_map(*[F.lit(v) for kv in cut.items() for v in kv])
-    picked = drawn.where(F.pmod("draw", F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
-    return sorted(picked.collect(), key=lambda r: (r["lang"], r["draw"], r["text"]))
+def fit_rows(texts: list[str], langs: list[str]) -> Model:
+    return fit_features(features(pa.array(texts, pa.string())), langs)
+
+
+def training_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+    """lang, draw, text of at most ``per_language`` different labelled texts of each language, drawn by hash of the text; bounded whatever the size.
+
+    Texts of a language that has very many copies of one may be drawn fewer: copies count when the rate is set, and are one when drawn.
+    """
+    drawn = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("draw"), F.col(text_col).cast("string").alias("text"))
+    rate = drawn.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).select("lang", F.least(F.lit(1.0), 1.5 * per_language / F.col("n")).alias("share"))
+    picked = drawn.join(F.broadcast(rate) if small(rate, 100_000) else rate, "lang").where(F.pmod("draw", F.lit(1 << 30)) < F.col("share") * float(1 << 30))
+    once = picked.groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 30)), "draw"))
+    return once.withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth")
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    seen: dict[str, int] = {}
-    texts, langs = [], []
-    for r in training_sample(docs, text_col, lang_col, per_language):
-        if seen.setdefault(r["lang"], 0) < per_language:
-            seen[r["lang"]] += 1
-            texts.append(r["text"])
-            langs.append(r["lang"])
-    return fit_rows(texts, langs)
+    ship(docs.sparkSession)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = features(batch.column(2))
+        at = [np.flatnonzero(r).astype(np.int32) for r in x]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(x, at)], pa.list_(pa.float32()))], names=["lang", "draw", "at", "x"])
+
+    rows = training_sample(docs, text_col, lang_col, per_language).mapInArrow(over_texts(work, text=2, rows=256), "lang string, draw long, at array<int>, x array<float>").collect()
+    rows.sort(key=lambda r: (r["lang"], r["draw"]))
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for k, r in enumerate(rows):
+        x[k, r["at"]] = r["x"]
+    return fit_features(x, [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +175,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     Null and empty texts, and those without letters: family and language 'und', margin 0.  Ties between
     pairwise votes go to the larger sum of margins, then to the first language by name.  Repeated rows:
-    a row each.  Without a single labelled row every text is 'und'.
+    a row each.  Without a single labelled row every text is 'und'.  Very long texts are taken whole; an empty table gives none.
+    Other columns are ignored.
     """
     ship(docs.sparkSession)
     schema = T.StructType([field(docs, id_col), T.StructField("family", T.StringType()), T.StructField("language", T.StringType()), T.StructField("margin", T.DoubleType())])
