@@ -8,13 +8,15 @@ another, are then the ids of the whole text.
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from weftline.llm.common import field, over_texts, raw_bytes, ship, texts_of
@@ -41,6 +43,18 @@ def coder(path: str) -> tuple[tiktoken.Encoding, np.ndarray, np.ndarray]:
     return enc, np.frombuffer(b"".join(by_id), np.uint8), begins
 
 
+def handed_out(spark: SparkSession, ranks: str) -> str:
+    """Hands the rank file to every executor; the name it has there, for ``local``."""
+    name = os.path.basename(ranks)
+    if not any(f.rpartition("/")[2] == name for f in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(ranks)
+    return name
+
+
+def local(name: str) -> str:
+    return SparkFiles.get(name)
+
+
 def pieces(text: str, long: int = LONG) -> list[str]:
     """``text`` cut at the first safe boundary after every ``long`` characters."""
     if len(text) <= long:
@@ -76,10 +90,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     """One row per row of ``docs``: id, ``keep`` columns, n_bytes, n_tokens, token_ids, exact.
 
     ``exact`` says that the ids decode to the text's own bytes.  Null text: token_ids, n_bytes,
-    n_tokens and exact are null.  Empty text: no ids, exact.  Repeated rows: a row each.  Other columns
-    are ignored.  No shuffle: a scan and one pass of tiktoken.
+    n_tokens and exact are null.  Empty text: no ids, exact.  Repeated rows: a row each.  An empty table gives none.  Other columns
+    are ignored, and so are ``keep`` columns that aren't there.  Very long texts are cut at safe boundaries, the ids are the whole text's.
+    No shuffle: a scan and one pass of tiktoken.
     """
     ship(docs.sparkSession)
+    keep = tuple(c for c in keep if c in docs.columns)
+    name = handed_out(docs.sparkSession, ranks)
     src = texts_of(docs, id_col, text_col, *keep)
     kept = [field(docs, c) for c in keep]
     schema = T.StructType(
@@ -87,7 +104,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     )
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1)
+        texts, ranks = batch.column(1), local(name)
         ids = [None if t is None else encode_one(t, ranks) for t in texts.to_pylist()]
         null = np.array([x is None for x in ids], bool)
         arrays = [np.zeros(0, np.uint32) if x is None else x for x in ids]
@@ -110,12 +127,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 
 
 def decode(encoded: DataFrame, ids_col: str = "token_ids", ranks: str = RANKS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``raw`` (binary: the ids' bytes) and ``text`` (null where these aren't UTF-8). Null ids give null."""
+    """``keep`` columns, ``raw`` (binary: the ids' bytes) and ``text`` (null where these aren't UTF-8).
+
+    Null ids give null, no ids an empty text.  Repeated rows: a row each.  Other columns are ignored.
+    """
     ship(encoded.sparkSession)
+    name = handed_out(encoded.sparkSession, ranks)
     src = encoded.select(ids_col, *keep)
     schema = T.StructType([*(field(encoded, c) for c in keep), T.StructField("raw", T.BinaryType()), T.StructField("text", T.StringType())])
 
     def run(batches):
+        ranks = local(name)
         for batch in batches:
             raw = [None if x is None else decode_raw(np.array(x, np.int64), ranks) for x in batch.column(0).to_pylist()]
             text = []
@@ -130,5 +152,5 @@ def decode(encoded: DataFrame, ids_col: str = "token_ids", ranks: str = RANKS, k
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage of the corpus pipeline: every document as token ids."""
+    """Last stage of the corpus pipeline: every document as token ids, with what there is of lang, source and n_chars."""
     return encode(docs, keep=("lang", "source", "n_chars"))
