@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.model import DB_OBJECTS, FLOW, FLOW_ENTRIES, FLOW_TARGETS, Graph, Options, bag, one_of
-from weftline.session import maybe_broadcast, small, stored
+from weftline.session import hinted, kept, maybe_broadcast, written
+
+#: Frontiers of no more ids than this are looked up in the edges.
+LOOKED_UP = 200
 
 
 def is_target(types: frozenset[str] | None, db_rule: bool = False) -> Column:
@@ -34,53 +37,69 @@ def _cut(df: DataFrame, order: list, room: int) -> DataFrame:
     return df.orderBy(*order).limit(room)
 
 
+def _beside(steps: DataFrame, frontier: DataFrame, rows: int, key: str) -> DataFrame:
+    """``steps`` joined with the frontier: few ids are looked up, which sorted files answer from a few row groups; more are broadcast, many shuffled."""
+    if rows <= LOOKED_UP:
+        ids = sorted({r[0] for r in frontier.select(key).collect()})  # LOOKED_UP at most
+        steps = steps.where(F.col(key).isin(ids))
+    return steps.join(hinted(frontier, rows), key)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def trace(graph: Graph, starts: DataFrame, direction: str = "out", target_types: frozenset[str] | None = None, options: Options = Options(), db_rule: bool | None = None, max_depth: int | None = None) -> Trace:
     """Everything reachable from ``starts`` (node_id) within the depth; targets are recorded but not expanded, starts always are.
 
     ``direction``: out along the edges, in against them.  Budgets on nodes and edges (0: none) cut by level, then id: the
-    engine's own order, since nothing orders the queue of a distributed search otherwise.
+    engine's own order, since nothing orders the queue of a distributed search otherwise.  A level writes its edges and its new
+    nodes, whose numbers come with the writing; nothing of earlier levels is written again.
     """
     here, there = ("source_node_id", "target_node_id") if direction == "out" else ("target_node_id", "source_node_id")
     db_rule = target_types == DB_OBJECTS if db_rule is None else db_rule
     depth_limit = options.trace_depth if max_depth is None else max_depth
     kinds = graph.nodes.select(F.col("node_id").alias("next"), is_target(target_types, db_rule).alias("target"))
-    steps = graph.edges.select(F.col(here).alias("node_id"), F.col(there).alias("next"), "edge_id")
-    frontier = stored(starts.select("node_id").distinct())
-    seen = stored(frontier.select("node_id", F.lit(0).alias("depth"), F.lit(False).alias("target")))
-    walked: DataFrame | None = None
-    n_nodes, n_edges, truncated, depth = (seen.count() if options.max_nodes else 0), 0, False, 0
-    while depth < depth_limit and not small(frontier, 0):
+    of = graph.edges if direction == "out" else graph.extra.get("edges_by_target", graph.edges)
+    steps = of.select(F.col(here).alias("node_id"), F.col(there).alias("next"), "edge_id")
+    first, n = kept(starts.select("node_id").distinct().withColumn("target", F.lit(False)))
+    levels: list[DataFrame] = [first]  # of each level the nodes that no level before has: node_id, target
+    walked: list[DataFrame] = []
+    n_nodes, n_edges, truncated, frontier, at_front = n["rows"], 0, False, first, n["rows"]
+    for depth in range(1, depth_limit + 1):
+        if not at_front:
+            break
         if (options.max_nodes and n_nodes >= options.max_nodes) or (options.max_edges and n_edges >= options.max_edges):
             truncated = True
             break
-        depth += 1
-        level = stored(steps.join(maybe_broadcast(frontier), "node_id").join(kinds, "next").select("edge_id", "next", "target"))
+        level = _beside(steps, frontier.select("node_id"), at_front, "node_id").select("edge_id", "next")
+        level, n = kept(level.join(kinds, "next").select("edge_id", "next", "target"))
         if options.max_edges:
-            size = level.count()
-            if n_edges + size > options.max_edges:
-                truncated, level = True, stored(_cut(level, ["edge_id"], options.max_edges - n_edges))
-                size = options.max_edges - n_edges
-            n_edges += size
-        edges = level.select("edge_id", F.lit(depth).alias("depth"))
-        walked = edges if walked is None else walked.unionByName(edges)
-        fresh = level.groupBy(F.col("next").alias("node_id")).agg(F.max("target").alias("target"))
-        known = seen.select("node_id", F.col("target").alias("was"))
-        joined = stored(fresh.join(known, "node_id", "left"))
-        new = joined.where("was is null").select("node_id", F.lit(depth).alias("depth"), "target")
-        again = joined.where("was = false and target").select("node_id")  # a start that a cycle leads back to is a target too
+            room = options.max_edges - n_edges
+            if n["rows"] > room:
+                truncated, (level, n) = True, kept(_cut(level, ["edge_id"], room))
+            n_edges += n["rows"]
+        walked.append(level.withColumn("depth", F.lit(depth)))
+        known = _union([x.select("node_id") for x in levels])
+        new = level.groupBy(F.col("next").alias("node_id")).agg(F.max("target").alias("target")).join(known, "node_id", "left_anti")
+        new, n = kept(new, front=~F.col("target"))
         if options.max_nodes:
-            size = new.count()
-            if n_nodes + size > options.max_nodes:
-                truncated, new = True, stored(_cut(new, ["node_id"], max(0, options.max_nodes - n_nodes)))
-                size = max(0, options.max_nodes - n_nodes)
-            n_nodes += size
-        if not small(again, 0):
-            seen = seen.join(again.withColumn("back", F.lit(True)), "node_id", "left").select("node_id", "depth", (F.col("target") | F.coalesce("back", F.lit(False))).alias("target"))
-        seen = stored(seen.unionByName(new))
-        frontier = stored(new.where("not target").select("node_id"))
-    if walked is None:
-        walked = graph.edges.select("edge_id", F.lit(0).alias("depth")).where("false")
-    return Trace(seen, walked.groupBy("edge_id").agg(F.min("depth").alias("depth")), truncated)
+            room = max(0, options.max_nodes - n_nodes)
+            if n["rows"] > room:
+                truncated, (new, n) = True, kept(_cut(new, ["node_id"], room), front=~F.col("target"))
+            n_nodes += n["rows"]
+        levels.append(new)
+        frontier, at_front = new.where("not target"), n["front"]
+    nodes = _union([x.withColumn("depth", F.lit(d)) for d, x in enumerate(levels)])
+    if not walked:
+        return Trace(nodes.select("node_id", "depth", "target"), graph.edges.select("edge_id", F.lit(0).alias("depth")).where("false"), truncated)
+    # a start that a cycle leads back to is a target too
+    back = _union([x.where("target").select(F.col("next").alias("node_id")) for x in walked]).distinct().join(first.select("node_id"), "node_id", "left_semi").withColumn("back", F.lit(True))
+    nodes = nodes.join(maybe_broadcast(back), "node_id", "left").select("node_id", "depth", (F.col("target") | F.coalesce("back", F.lit(False))).alias("target"))
+    return Trace(nodes, _union([x.select("edge_id", "depth") for x in walked]).groupBy("edge_id").agg(F.min("depth").alias("depth")), truncated)
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, nodes: DataFrame, target_types: frozenset[str], max_depth: int = 8, edge_types: frozenset[str] | None = None, db_rule: bool = False) -> DataFrame:
@@ -92,17 +111,18 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, nodes: DataFrame, target
     steps = steps.select(F.col("source_node_id").alias("at"), F.col("target_node_id").alias("next"), "edge_id")
     kinds = nodes.where(is_target(target_types, db_rule)).select(F.col("node_id").alias("at"))
     none = F.array().cast("array<string>")
-    frontier = stored(starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("at")).distinct().withColumns({"edges": none, "nodes": F.array("at")}))
-    seen = stored(frontier.select("start", "at"))
-    found = frontier.where("false").select("start", "at", F.lit(0).alias("depth"), "nodes", "edges")
+    frontier, n = kept(starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("at")).distinct().withColumns({"edges": none, "nodes": F.array("at")}))
+    seen = [frontier.select("start", "at")]
+    found = [frontier.where("false").select("start", "at", F.lit(0).alias("depth"), "nodes", "edges")]
     for depth in range(1, max_depth + 1):
-        grown = frontier.join(steps, "at").select("start", F.col("next").alias("at"), F.concat("edges", F.array("edge_id")).alias("edges"), F.concat("nodes", F.array("next")).alias("nodes"))
-        frontier = stored(grown.join(seen, ["start", "at"], "left_anti").groupBy("start", "at").agg(F.min(F.struct("edges", "nodes")).alias("p")).select("start", "at", "p.edges", "p.nodes"))
-        if small(frontier, 0):
+        grown = _beside(steps, frontier, n["rows"], "at").select("start", F.col("next").alias("at"), F.concat("edges", F.array("edge_id")).alias("edges"), F.concat("nodes", F.array("next")).alias("nodes"))
+        new = grown.join(_union(seen), ["start", "at"], "left_anti").groupBy("start", "at").agg(F.min(F.struct("edges", "nodes")).alias("p")).select("start", "at", "p.edges", "p.nodes")
+        frontier, n = kept(new)
+        if not n["rows"]:
             break
-        seen = stored(seen.unionByName(frontier.select("start", "at")))
-        found = found.unionByName(frontier.join(kinds, "at", "left_semi").select("start", "at", F.lit(depth).alias("depth"), "nodes", "edges"))
-    return found.withColumnRenamed("at", "target")
+        seen.append(frontier.select("start", "at"))
+        found.append(frontier.join(kinds, "at", "left_semi").select("start", "at", F.lit(depth).alias("depth"), "nodes", "edges"))
+    return _union(found).withColumnRenamed("at", "target")
 
 
 def flow_type(node_type: Column) -> Column:
@@ -125,31 +145,33 @@ def flows(graph: Graph, options: Options = Options(), entries: DataFrame | None
     steps = graph.edges.where(one_of("edge_type", FLOW)).select(F.col("source_node_id").alias("at"), F.col("target_node_id").alias("next"), "edge_id", "edge_type", F.col("confidence").alias("c"))
     steps = steps.join(kinds, "next").withColumn("goal", one_of("node_type", FLOW_TARGETS))
     begin = graph.nodes.where(one_of("node_type", options.flow_entry_types or FLOW_ENTRIES)) if entries is None else graph.nodes.join(entries.select("node_id").distinct(), "node_id", "left_semi")
-    frontier = stored(begin.select(F.col("node_id").alias("start"), F.col("node_id").alias("at"), F.col("node_type").alias("start_type"), F.col("confidence").alias("confidence"), F.lit(1).cast("long").alias("rank"), F.array("node_id").alias("nodes"), F.array().cast("array<string>").alias("edges")))
-    seen = stored(frontier.select("start", "at"))
-    reached: DataFrame | None = None
+    frontier, n = kept(begin.select(F.col("node_id").alias("start"), F.col("node_id").alias("at"), F.col("node_type").alias("start_type"), F.col("confidence").alias("confidence"), F.lit(1).cast("long").alias("rank"), F.array("node_id").alias("nodes"), F.array().cast("array<string>").alias("edges")))
+    seen, reached, at_front = [frontier.select("start", "at")], [], n["rows"]
     for depth in range(1, (options.flow_max_depth if max_depth is None else max_depth) + 1):
+        if not at_front:
+            break
         order = ["rank", "edge_type", "next", "edge_id"]
-        grown = frontier.join(steps, "at").join(seen.withColumnRenamed("at", "next"), ["start", "next"], "left_anti")
+        grown = _beside(steps, frontier, at_front, "at").join(_union(seen).withColumnRenamed("at", "next"), ["start", "next"], "left_anti")
         first = grown.withColumn("nth", F.row_number().over(Window.partitionBy("start", "next").orderBy(*order))).where("nth = 1")
-        level = stored(
+        level, n = kept(
             first.withColumn("position", F.row_number().over(Window.partitionBy("start").orderBy(*order))).select(
                 "start", F.col("next").alias("at"), "start_type", F.least("confidence", "c").alias("confidence"), F.col("position").cast("long").alias("rank"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat("edges", F.array("edge_id")).alias("edges"), "goal", "node_type"
-            )
+            ),
+            front=~F.col("goal"),
         )
-        if small(level, 0):
-            break
-        goals = level.where("goal").withColumn("depth", F.lit(depth))
-        reached = goals if reached is None else reached.unionByName(goals)
-        seen = stored(seen.unionByName(level.select("start", "at")))
-        full = reached.groupBy("start").count().where(F.col("count") >= options.max_flow_targets).select("start")
-        frontier = stored(level.where("not goal").drop("goal", "node_type").join(full, "start", "left_anti"))
-        if small(frontier, 0):
-            break
-    if reached is None:
+        seen.append(level.select("start", "at"))
+        if n["rows"] > n["front"]:
+            reached.append(level.where("goal").withColumn("depth", F.lit(depth)))
+        frontier, at_front = level.where("not goal").drop("goal", "node_type"), n["front"]
+        if at_front and reached:
+            full = _union([x.select("start") for x in reached]).groupBy("start").count().where(F.col("count") >= options.max_flow_targets).select("start")
+            frontier = frontier.join(full, "start", "left_anti")
+    if reached:
+        reached = _union(reached)
+    else:
         reached = frontier.where("false").withColumns({"goal": F.lit(True), "node_type": F.lit(""), "depth": F.lit(0)})
-    kept = reached.withColumn("nth", F.row_number().over(Window.partitionBy("start").orderBy("depth", "rank"))).where(F.col("nth") <= options.max_flow_targets)
-    out = kept.select(
+    best = reached.withColumn("nth", F.row_number().over(Window.partitionBy("start").orderBy("depth", "rank"))).where(F.col("nth") <= options.max_flow_targets)
+    out = best.select(
         flow_id(F.col("start"), F.col("at"), F.col("edges")).alias("flow_id"), flow_type(F.col("start_type")).alias("flow_type"), "start", F.col("at").alias("target"), F.col("node_type").alias("target_type"), "depth", "confidence", (F.col("node_type") != "UNRESOLVED_REFERENCE").alias("complete"), "nodes", "edges"
     )
     step = out.select("flow_id", "edges", F.posexplode("nodes").alias("step_index", "node_id")).select("flow_id", "step_index", "node_id", F.when(F.col("step_index") > 0, F.get("edges", F.col("step_index") - 1)).alias("incoming_edge_id"))
@@ -166,11 +188,15 @@ def reachable(edges: DataFrame, starts: DataFrame, key: str | None = None, edge_
     steps = edges if edge_types is None else edges.where(one_of("edge_type", edge_types))
     steps = steps.select(F.col("source_node_id").alias("node_id"), F.col("target_node_id").alias("next")).distinct()
     keys = [key] if key else []
-    frontier = seen = stored(starts.select(*keys, "node_id").distinct())
-    while not small(frontier, 0):
-        frontier = stored(frontier.join(steps, "node_id").select(*keys, F.col("next").alias("node_id")).distinct().join(seen, [*keys, "node_id"], "left_anti"))
-        seen = stored(seen.unionByName(frontier))
-    return seen
+    frontier, n = kept(starts.select(*keys, "node_id").distinct())
+    seen = [frontier]
+    while n["rows"]:
+        step = _beside(steps, frontier, n["rows"], "node_id").select(*keys, F.col("next").alias("node_id")).distinct()
+        frontier, n = kept(step.join(_union(seen), [*keys, "node_id"], "left_anti"))
+        seen.append(frontier)
+        if len(seen) > 16:  # a long plan is cut now and then
+            seen = [written(_union(seen))]
+    return _union(seen)
 
 
 def relationships(graph: Graph, edge_types: frozenset[str], ui_types: frozenset[str], job_types: frozenset[str], db_types: frozenset[str], ui_depth: int = 6) -> DataFrame:
@@ -193,12 +219,16 @@ def relationships(graph: Graph, edge_types: frozenset[str], ui_types: frozenset[
 def propagated_labels(seeds: DataFrame, edges: DataFrame, edge_types: frozenset[str]) -> DataFrame:
     """node_id, label: labels spread over ``edge_types`` in both directions until nothing changes; a node takes the least label of its nearest labelled neighbours."""
     both = edges.where(one_of("edge_type", edge_types)).select(F.col("source_node_id").alias("node_id"), F.col("target_node_id").alias("other"))
-    both = stored(both.unionByName(both.select(F.col("other").alias("node_id"), F.col("node_id").alias("other"))).distinct())
-    frontier = done = stored(seeds.where("label is not null").groupBy("node_id").agg(F.min("label").alias("label")))
-    while not small(frontier, 0):
-        frontier = stored(frontier.join(both, "node_id").groupBy(F.col("other").alias("node_id")).agg(F.min("label").alias("label")).join(done, "node_id", "left_anti"))
-        done = stored(done.unionByName(frontier))
-    return done
+    both = written(both.unionByName(both.select(F.col("other").alias("node_id"), F.col("node_id").alias("other"))).distinct())
+    frontier, n = kept(seeds.where("label is not null").groupBy("node_id").agg(F.min("label").alias("label")))
+    done = [frontier]
+    while n["rows"]:
+        near = both.join(hinted(frontier, n["rows"]), "node_id").groupBy(F.col("other").alias("node_id")).agg(F.min("label").alias("label"))
+        frontier, n = kept(near.join(_union(done).select("node_id"), "node_id", "left_anti"))
+        done.append(frontier)
+        if len(done) > 16:
+            done = [written(_union(done))]
+    return _union(done)
 
 
 def seed_labels(nodes: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:

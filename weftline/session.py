@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; unset, one of our own in local mode and an error on a cluster."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(where)
         return where
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
     return sc.getCheckpointDir()
 
@@ -45,11 +47,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def kept(df: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``written``, and how many rows there are (``rows``) and how many meet each of the conditions; counted while they are written."""
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows"), *(F.count(F.when(c, 1)).alias(n) for n, c in conditions.items())]
+    out = written(df.observe(seen, *counts))
+    return out, {"rows": 0, **dict.fromkeys(conditions, 0), **seen.get}
+
+
 def small(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has at most ``most`` rows; counts no further than that."""
     return df.limit(most + 1).count() <= most
 
 
+def hinted(df: DataFrame, rows: int, most: int = 400_000) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted before, are few."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def maybe_broadcast(df: DataFrame, most: int = 400_000) -> DataFrame:
     """``df`` with a broadcast hint if its rows, counted first, are few; else as it is (shuffle join)."""
     return F.broadcast(df) if small(df, most) else df
