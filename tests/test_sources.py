@@ -155,7 +155,7 @@ def test_publish_and_export(spark, tmp_path):
     with pytest.raises(ValueError):
         publish.publish(g, str(other))
     with pytest.raises(ValueError):
-        publish.publish(make(spark, [node("a")], [edge("1", "a", "gone")]), str(tmp_path / "h"))
+        publish.publish(make(spark, [node("a")], [edge("1", "a", "gone")]), str(tmp_path / "h"), linked=False)
     assert (other / "x").read_text() == "mine"
 
 

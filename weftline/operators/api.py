@@ -137,8 +137,8 @@ class Api:
     def search_memory(self, text: str, kind: str = "", source: str = "", limit: int = 50) -> DataFrame:
         assert self.memory is not None
         df = self.memory.where(F.lower("text").contains(text.lower()))
-        df = df.where(F.col("kind") == kind) if kind else df
-        df = df.where(F.col("source") == source) if source else df
+        df = df.where(F.lower("kind") == kind.lower()) if kind else df
+        df = df.where(F.lower("source") == source.lower()) if source else df
         return df.orderBy("node_id").limit(limit)
 
     def operations(self, method: str, path: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.functions import routes
+from weftline.functions import jsonbag, routes
 from weftline.functions.ids import decoded_id, edge_id, placeholder_id
 from weftline.model import DB_EDGES, DB_OBJECTS, DEFERRED, ROUTINES, Graph, bag, filled, one_of
+from weftline.session import ship
 
 
 def api_signature(nodes: DataFrame) -> DataFrame:
@@ -101,8 +102,18 @@ def resolution_issues(resolved: DataFrame) -> DataFrame:
     return resolved.where("status = 'AMBIGUOUS'").select(F.col("ref_id").alias("source_node_id"), kind.alias("issue_type"), F.lit("WARNING").alias("severity"), F.format_string("Deferred %s reference matches %d nodes", "kind", "candidates").alias("message"))
 
 
+def rewritten_bags(df: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``df`` with every string in its bags that is an ``old`` id replaced by the ``new`` one; each different bag is read once, and only those with a hit are written anew."""
+    ship(df.sparkSession)
+    bags = df.select(F.col("properties_json").alias("bag")).where(F.length("bag") > 4).distinct()
+    hits = bags.withColumn("old", F.explode(jsonbag.strings("bag"))).join(aliases.select("old", "new"), "old")
+    names = hits.groupBy("bag").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_set(F.struct("old", "new"))))).alias("names"))
+    fresh = names.select("bag", jsonbag.rewritten("bag", "names").alias("fresh"))
+    return df.join(fresh, df["properties_json"] == fresh["bag"], "left").withColumn("properties_json", F.coalesce("fresh", "properties_json")).select(*df.columns)
+
+
 def replace_nodes(graph: Graph, aliases: DataFrame) -> Graph:
-    """The graph with ``old_id`` replaced by ``new_id`` everywhere (ends, targets, owners); edges that become equal are merged."""
+    """The graph with ``old_id`` replaced by ``new_id`` everywhere (ends, targets, owners, strings in bags); edges that become equal are merged, and their ids replaced too."""
     a = aliases.select("old_id", "new_id")
 
     def swap(df: DataFrame, column: str, when: Column | None = None) -> DataFrame:
@@ -116,7 +127,9 @@ def replace_nodes(graph: Graph, aliases: DataFrame) -> Graph:
     before = graph.edges.withColumn("was", F.col("edge_id"))
     moved = swap(swap(before, "source_node_id"), "target_node_id").withColumn("edge_id", edge_id("source_node_id", "edge_type", "target_node_id", "raw_operation", "graph_layer"))
     edge_alias = moved.where("was <> edge_id").select(F.col("was").alias("old_edge"), F.col("edge_id").alias("new_edge"))
-    edges = merge_edges(moved.drop("was"))
+    every = a.select(F.col("old_id").alias("old"), F.col("new_id").alias("new")).union(edge_alias).distinct()
+    bags = lambda df: rewritten_bags(df, every) if df is not None and "properties_json" in df.columns else df
+    edges = merge_edges(bags(moved.drop("was")))
     evidence, comments, issues = graph.evidence, graph.comments, graph.issues
     if evidence is not None:
         evidence = swap(evidence, "target_id", F.col("target_type") == "NODE").join(edge_alias, (F.col("target_type") == "EDGE") & (F.col("target_id") == F.col("old_edge")), "left").withColumn("target_id", F.coalesce("new_edge", "target_id")).drop("old_edge", "new_edge")
@@ -124,15 +137,20 @@ def replace_nodes(graph: Graph, aliases: DataFrame) -> Graph:
         comments = swap(comments, "owner_node_id")
     if issues is not None:
         issues = swap(issues, "source_node_id")
-    return graph.with_(nodes=nodes, edges=edges, evidence=evidence, comments=comments, issues=issues)
+    return graph.with_(nodes=bags(nodes), edges=edges, evidence=bags(evidence), comments=bags(comments), issues=bags(issues))
 
 
 def node_references(graph: Graph) -> DataFrame:
-    """node_id: every id that a row refers to as a node."""
+    """node_id: every id that a row refers to as a node, by a key or in its bag."""
+    ship(graph.edges.sparkSession)
     ends = graph.edges.select(F.explode(F.array("source_node_id", "target_node_id")).alias("node_id"))
     for df, column, ok in ((graph.evidence, "target_id", "target_type = 'NODE'"), (graph.comments, "owner_node_id", "true"), (graph.issues, "source_node_id", "true")):
         if df is not None:
             ends = ends.unionByName(df.where(ok).select(F.col(column).alias("node_id")))
+    for df in (graph.nodes, graph.edges, graph.evidence, graph.comments, graph.issues):
+        if df is not None and "properties_json" in df.columns:
+            bags = df.select("properties_json").where(F.col("properties_json").contains("ref_node_id")).distinct()
+            ends = ends.unionByName(bags.select(F.explode(jsonbag.node_references("properties_json")).alias("node_id")))
     return ends.where("node_id is not null and node_id <> ''").distinct()
 
 
@@ -165,9 +183,9 @@ def broken_keys(graph: Graph) -> DataFrame:
     if graph.evidence is not None:
         checks += [("evidence.node", graph.evidence, "target_id", "target_type = 'NODE'", nodes), ("evidence.edge", graph.evidence, "target_id", "target_type = 'EDGE'", edges)]
     if graph.comments is not None:
-        checks.append(("comments.owner_node_id", graph.comments, "owner_node_id", "true", nodes))
+        checks.append(("comments.owner_node_id", graph.comments, "owner_node_id", "owner_node_id is not null and cast(owner_node_id as string) <> ''", nodes))
     if graph.issues is not None:
-        checks.append(("issues.source_node_id", graph.issues, "source_node_id", "source_node_id is not null", nodes))
+        checks.append(("issues.source_node_id", graph.issues, "source_node_id", "source_node_id is not null and cast(source_node_id as string) <> ''", nodes))
     out = None
     for name, df, column, ok, keys in checks:
         n = df.where(ok).select(F.col(column).alias("k")).join(keys, "k", "left_anti").agg(F.lit(name).alias("reference"), F.count("*").alias("n"))
@@ -175,11 +193,27 @@ def broken_keys(graph: Graph) -> DataFrame:
     return out
 
 
-def prune_resolved_issues(issues: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Issues without those that say a reference wasn't found which has been resolved since."""
-    gone = resolved.where("status = 'RESOLVED'").select(F.col("ref_id").alias("source_node_id"))
-    stale = one_of("issue_type", frozenset({"UNRESOLVED_REFERENCE", "TABLE_NOT_FOUND", "COLUMN_NOT_FOUND", "SYMBOL_NOT_FOUND"}))
-    return issues.where(~stale | F.col("source_node_id").isNull()).unionByName(issues.where(stale & F.col("source_node_id").isNotNull()).join(gone, "source_node_id", "left_anti").select(*issues.columns))
+#: Issues that say a reference wasn't found, and what they are about.
+STALE = {"TABLE_NOT_IMPORTED": "object", "EXTERNAL_OBJECT": "object", "COLUMN_NOT_IMPORTED": "column", "PROCEDURE_NOT_FOUND": "routine"}
+
+
+def prune_resolved_issues(issues: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Issues without those that say a name (raw_reference, in database_key) wasn't found which some node has by now.
+
+    A name matches with its schema or package, or where no node has that, by itself; names with a database link, and those without a database, stay.
+    """
+    known = object_identity(nodes.where(one_of("node_type", DB_OBJECTS))).select(F.lit("object").alias("kind"), "db", "name")
+    cols = object_identity(nodes.where("node_type = 'COLUMN'")).select(F.lit("column").alias("kind"), "db", F.concat_ws(".", _up(bag("properties_json", "table")), _up(filled(bag("properties_json", "column"), "technical_name"))).alias("name"))
+    routines = nodes.where(one_of("node_type", ROUTINES)).select(F.lit("routine").alias("kind"), _up(filled("database_key", bag("properties_json", "database"))).alias("db"), _up(filled(bag("properties_json", "routine"), "technical_name")).alias("name"))
+    there = known.unionByName(cols).unionByName(routines).where("db <> '' and name <> ''").distinct().select(F.col("kind").alias("__k"), F.col("db").alias("__d"), F.col("name").alias("__n"))
+    raw = _up(F.col("raw_reference"))
+    parts = F.transform(F.filter(F.split(raw, r"\."), lambda x: x != ""), lambda x: F.replace(x, F.lit('"')))
+    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    kind = F.create_map(*[F.lit(x) for kv in STALE.items() for x in kv])[F.col("issue_type")]
+    name = F.when(kind == "column", F.concat_ws(".", F.try_element_at(parts, F.lit(-2)), last)).otherwise(last)
+    ok = kind.isNotNull() & (_up(F.col("database_key")) != "") & (raw != "") & ~raw.contains("@")
+    asked = issues.withColumns({"__k": F.when(ok, kind), "__d": _up(F.col("database_key")), "__n": name})
+    return asked.join(there, ["__k", "__d", "__n"], "left_anti").select(*issues.columns)
 
 
 def candidates(nodes: DataFrame, minimum: float = 0.85, most: int = 10) -> DataFrame:
