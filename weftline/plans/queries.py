@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import ids, names, routes, sqltext, text
+from weftline.functions import behaviour, ids, names, routes, sqltext, text
 from weftline.model import DB_OBJECTS, READS, WRITES, Graph, Options
 from weftline.operators import dedupe, enrich, links, memory, metrics, structure, traverse
 from weftline.operators.api import Api, table_lookup
@@ -39,12 +39,12 @@ def _starts(spark: SparkSession, *node_ids: str) -> DataFrame:
 
 # ---- traversals
 
-@query(L + """, walk(node_id, depth) AS (SELECT 'system:1', 0 UNION SELECT e.target_node_id, w.depth + 1 FROM walk w JOIN edges e ON e.source_node_id = w.node_id WHERE w.depth < 3)
+@query(L + """, walk(node_id, depth) AS (SELECT 'system:1', 0 UNION SELECT e.target_node_id, w.depth + 1 FROM walk w JOIN edges e ON e.source_node_id = w.node_id WHERE w.depth < 8)
 SELECT node_type, CAST(depth AS BIGINT) AS depth, count(*) AS n FROM (SELECT node_id, min(depth) AS depth FROM walk GROUP BY node_id) JOIN nodes USING (node_id) GROUP BY ALL""")
 def impact_of_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes reached from a region within three levels, by type."""
+    """Nodes reached from a region within eight levels, by type."""
     g = published(spark, sf_dir)
-    t = traverse.trace(g, _starts(spark, "system:1"), options=_UNBOUNDED, max_depth=3)
+    t = traverse.trace(g, _starts(spark, "system:1"), options=_UNBOUNDED)
     return t.nodes.join(g.nodes.select("node_id", "node_type"), "node_id").groupBy("node_type", F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"))
 
 
@@ -170,12 +170,12 @@ def table_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).nodes.where("node_type = 'TABLE'").where(table_lookup("red_widget")).select("node_id")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS node_id, lang AS kind FROM documents WHERE contains(lower(text), 'the water') OR contains(lower(text), 'license')")
+@query("SELECT CAST(doc_id AS VARCHAR) AS node_id, lang AS kind FROM documents WHERE contains(lower(text), 'the') AND lower(lang) = 'en' AND lower(source) = 'src1' ORDER BY node_id LIMIT 1000000")
 def search_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards that hold a text, whatever its case."""
-    cards = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("node_id"), F.col("lang").alias("kind"), F.col("source"), F.col("text"))
-    low = F.lower("text")
-    return cards.where(low.contains("the water") | low.contains("license")).select("node_id", "kind")
+    """Cards that hold a text, of a kind and source, all whatever their case."""
+    d = table(spark, sf_dir, "documents")
+    cards = d.select(F.col("doc_id").cast("string").alias("node_id"), F.col("lang").alias("kind"), "source", "text")
+    return Api(Graph(cards, cards), cards).search_memory("THE", kind="EN", source="Src1", limit=1_000_000).select("node_id", "kind")
 
 
 @query(L + """, rel AS (SELECT node_id, count(*) AS n FROM (SELECT source_node_id AS node_id, target_node_id AS o FROM edges UNION SELECT target_node_id, source_node_id FROM edges) GROUP BY node_id)
@@ -240,15 +240,15 @@ def resolution_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _REFS + """, ex AS (SELECT r.id AS ref, o.id AS cand FROM refs r JOIN objs o USING (db, sc, nm)), lo AS (SELECT r.id AS ref, o.id AS cand FROM refs r JOIN objs o USING (db, nm) WHERE r.id NOT IN (SELECT ref FROM ex)), a AS (SELECT ref, min(cand) AS cand FROM (SELECT * FROM ex UNION ALL SELECT * FROM lo) GROUP BY ref HAVING count(*) = 1),
 e AS (SELECT 'sql-statement:'||l_orderkey||'-'||l_linenumber AS s, CASE WHEN l_partkey % 3 = 0 THEN 'unresolved-reference:' ELSE 'table:' END||l_partkey AS t, CASE WHEN l_returnflag='N' THEN 'READS_FROM' ELSE 'WRITES_TO' END AS k, 1-l_discount AS c FROM lineitem), m AS (SELECT s, coalesce(cand, t) AS t, k, max(c) AS confidence FROM e LEFT JOIN a ON t = ref GROUP BY ALL)
-SELECT 'edge:'||sha256(s||'|'||k||'|'||t||'||DATA_FLOW') AS edge_id, s AS source_node_id, t AS target_node_id, k AS edge_type, confidence FROM m""")
+SELECT 'edge:'||sha256(s||'|'||k||'|'||t||'||DATA_FLOW') AS edge_id, s AS source_node_id, t AS target_node_id, k AS edge_type, confidence, '{"ref_node_id":"'||t||'"}' AS properties_json FROM m""")
 def replaced_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges after resolved references were replaced, those that became equal merged."""
+    """Edges after resolved references were replaced, in their bags too; those that became equal are merged."""
     nodes = _reference_nodes(spark, sf_dir)
     e = lift.edges(spark, sf_dir).where("edge_type in ('READS_FROM', 'WRITES_TO')")
     number = F.split_part("target_node_id", F.lit(":"), F.lit(2))
-    e = e.withColumn("target_node_id", F.when(number.cast("long") % 3 == 0, F.concat(F.lit("unresolved-reference:"), number)).otherwise(F.col("target_node_id")))
+    e = e.withColumn("target_node_id", F.when(number.cast("long") % 3 == 0, F.concat(F.lit("unresolved-reference:"), number)).otherwise(F.col("target_node_id"))).withColumn("properties_json", F.to_json(F.struct(F.col("target_node_id").alias("ref_node_id"))))
     alias = links.resolve_deferred(nodes).where("status = 'RESOLVED'").select(F.col("ref_id").alias("old_id"), F.col("target_id").alias("new_id"))
-    return links.replace_nodes(Graph(nodes, e), alias).edges.select("edge_id", "source_node_id", "target_node_id", "edge_type", "confidence")
+    return links.replace_nodes(Graph(nodes, e), alias).edges.select("edge_id", "source_node_id", "target_node_id", "edge_type", "confidence", "properties_json")
 
 
 @query("""WITH e AS (SELECT 'ui-action:'||o_custkey AS s, 'api-operation:'||(o_orderkey + 7) AS t FROM orders), n AS (SELECT 'api-operation:'||o_orderkey AS id FROM orders UNION ALL SELECT 'ui-action:'||c_custkey FROM customer)
@@ -326,14 +326,15 @@ def attach_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.attach_projects(Graph(apps.unionByName(projects), lift.edges(spark, sf_dir).where("edge_type = 'EXECUTES_SQL'"))).select("source_node_id", "target_node_id")
 
 
-@query("WITH r AS (SELECT 'job:'||p_partkey AS job_id, lower(p_name) AS name FROM part), x AS (SELECT 1 AS priority, lower(p_name) AS name, 'exe:'||p_brand AS executable_id FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT 2, lower(p_name), 'exe:'||p_type FROM part WHERE p_partkey % 31 = 0), h AS (SELECT job_id, priority, min(executable_id) AS e FROM r JOIN x USING (name) GROUP BY ALL HAVING count(DISTINCT executable_id) = 1) SELECT job_id, min_by(e, priority) AS executable_id FROM h GROUP BY job_id")
+@query("""WITH r AS (SELECT 'job:'||p_partkey AS job_id, lower(p_name)||' '||p_size AS name, p_brand, p_type, p_partkey FROM part), x AS (SELECT 1 AS priority, name, 'exe:'||p_brand AS e FROM r UNION ALL SELECT 2, name, 'exe:'||p_type FROM r UNION ALL SELECT 3, name, 'exe:all' FROM r),
+h AS (SELECT job_id, priority, min(e) AS e FROM r JOIN x USING (name) GROUP BY ALL HAVING count(DISTINCT e) = 1) SELECT job_id, min_by(e, priority) AS executable_id FROM h GROUP BY job_id""")
 def job_executables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs to executables by the first rule that is unambiguous."""
+    """Jobs to executables by the first rule that is unambiguous: by brand, by type, any."""
     p = table(spark, sf_dir, "part")
-    name = names.executable_name("p_name").alias("name")
-    rule = lambda n, every, c: p.where(F.col("p_partkey") % every == 0).select(F.lit(n).alias("priority"), name, F.concat(F.lit("exe:"), F.col(c)).alias("executable_id"))
+    name = names.executable_name(F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))).alias("name")
+    rule = lambda n, c: p.select(F.lit(n).alias("priority"), name, F.concat(F.lit("exe:"), c).alias("executable_id"))
     jobs = p.select(F.concat(F.lit("job:"), F.col("p_partkey").cast("string")).alias("job_id"), name)
-    return links.job_executables(jobs, rule(1, 50, "p_brand").unionByName(rule(2, 31, "p_type")))
+    return links.job_executables(jobs, rule(1, F.col("p_brand")).unionByName(rule(2, F.col("p_type"))).unionByName(rule(3, F.lit("all"))))
 
 
 # ---- aggregation and de-duplication
@@ -516,6 +517,47 @@ def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("p_partkey", "statement", _refs("a.tables"))
 
 
+def _routine(k: Column, n: Column) -> Column:
+    """A routine of one of four shapes for a part: its number ``k`` and size ``n``, as strings."""
+    t = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    return (
+        F.when(F.col("p_partkey") % 4 == 0, t("create or replace procedure p_", k, "(a in number) is\nbegin\n  if a > ", n, " then\n    update app.t_", k, " set v = 'x; end if;' where id = a;\n  else\n    delete from l_", n, ";\n  end if;\nend;"))
+        .when(F.col("p_partkey") % 4 == 1, t("function f_", k, " return number is\n  n number := g_", n, "(1);\nbegin\n  for r in (select id from s_", k, ") loop\n    exit when r.id > ", n, ";\n    insert into h_", k, " values (r.id);\n  end loop; -- done\n  return n;\nend f_", k, ";"))
+        .when(F.col("p_partkey") % 4 == 2, t("begin\n  case a\n    when ", n, " then log_", k, "(a);\n    else raise bad_", n, ";\n  end case;\nend;"))
+        .otherwise(t("declare\n  procedure inner is begin delete from z; end;\nbegin\n  begin\n    select v into x from a_", k, ", b_", n, " where 1 = 1;\n  exception\n    when no_data_found or too_many_rows then\n      x := ", n, ";\n  end;\nend;"))
+    )
+
+
+_TREES = [
+    "BRANCH IF a > # [L3]|  DATA_EFFECT UPDATE APP.T_@ [L4]|  ELSE|    DATA_EFFECT DELETE L_# [L6]",
+    "ASSIGNMENT Initialize n [L2]|  CALL Call G_# [L2]|LOOP r in (select id from s_@) [L4]|  EXIT Exit loop [L5]|  DATA_EFFECT INSERT H_@ [L6]|OUTPUT Return n [L8]",
+    "BRANCH CASE a [L2]|  CASE WHEN # [L3]|    CALL Call LOG_@ [L3]|  ELSE|    RAISE Raise bad_# [L4]",
+    "BLOCK Nested block [L4]|  TRY BEGIN / EXCEPTION [L4]|    SQL select v into x from a_@, b_# where 1 = 1 [L5]|      DATA_EFFECT SELECT A_@ [L5]|      DATA_EFFECT SELECT B_# [L5]|    CATCH no_data_found OR too_many_rows [L7]|      ASSIGNMENT Set x [L8]",
+]
+
+
+def _trees_sql(trees: list[str]) -> str:
+    whens = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(trees))
+    return f"SELECT p_partkey, replace(replace(replace(CASE p_partkey % 4 {whens} END, '|', chr(10)), '#', CAST(p_size AS VARCHAR)), '@', CAST(p_partkey AS VARCHAR)) AS tree FROM part"
+
+
+@query(_trees_sql(_TREES))
+def behaviour_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What routines do, nested, as an indented tree."""
+    ship(spark)
+    return table(spark, sf_dir, "part").select("p_partkey", behaviour.tree_text(_routine(F.col("p_partkey").cast("string"), F.col("p_size").cast("string"))).alias("tree"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 2 END AS leaves, p_partkey % 4 = 1 AS has_loop, p_partkey % 4 = 3 AS has_handler, p_partkey % 4 IN (0, 2) AS has_else FROM part".replace("CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 2 END", "CAST(2 AS BIGINT)"))
+def behaviour_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls, data effects and raises of routines, and what holds them; the rest is left out."""
+    ship(spark)
+    tree = behaviour.summary_json(_routine(F.col("p_partkey").cast("string"), F.col("p_size").cast("string")))
+    t = table(spark, sf_dir, "part").select("p_partkey", tree.alias("t"))
+    leaves = F.size(F.regexp_extract_all("t", F.lit('"type":"(call|data_effect|raise)"'), 1)).cast("long")
+    return t.select("p_partkey", leaves.alias("leaves"), F.col("t").contains('"type":"loop"').alias("has_loop"), F.col("t").contains('"catches"').alias("has_handler"), F.col("t").contains('"else_steps"').alias("has_else"))
+
+
 @query("SELECT doc_id, CASE WHEN length(t) >= 10 AND regexp_matches(t, '^(select\\b[\\s\\S]*\\bfrom\\b|insert\\b[\\s\\S]*\\binto\\b|update\\b[\\s\\S]*\\bset\\b|delete\\b[\\s\\S]*\\bfrom\\b|merge\\b[\\s\\S]*\\binto\\b|with\\b[\\s\\S]*\\bselect\\b|begin\\b[\\s\\S]*\\bend\\b|call\\s+\\w+)') THEN true ELSE false END AS is_sql FROM (SELECT doc_id, lower(trim(text)) AS t FROM documents)")
 def likely_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F23, F24."""
