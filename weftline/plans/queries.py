@@ -580,12 +580,12 @@ def knowledge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards as Markdown in chunks of bounded size."""
     g = graph(spark, sf_dir)
     ship(spark)
-    cards = memory.markdown_cards(memory.cards(Graph(g.nodes.where("node_type in ('TABLE', 'API_APPLICATION')"), g.edges)))
+    cards = memory.markdown_cards(memory.cards(Graph(g.nodes, g.edges)))
     c = memory.chunked(cards, ["topic"], ["source", "anchor", "node_id"], 1 << 16)
     return c.groupBy("topic", "chunk").agg(F.count("*").alias("cards"), F.sum(F.octet_length("body")).alias("bytes"))
 
 
-@query(None)
+@query("""SELECT 'customer:'||o_custkey AS source_path, 'UI_ACTION customer:'||o_custkey||' [L1-L9]'||chr(10)||string_agg('  API_OPERATION '||o_orderkey||' [L2-L3]', chr(10) ORDER BY CAST(o_orderkey AS VARCHAR)) AS tree FROM orders GROUP BY o_custkey""")
 def file_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The declarations of each customer's file as a tree."""
     g = graph(spark, sf_dir)
@@ -608,4 +608,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_of_region(spark, sf_dir)
 
 
-
+from weftline.plans import inputs  # noqa: E402, F401  registers its queries
