@@ -57,6 +57,23 @@ def test_stages_take_awkward_tables(spark, sf):
         corpus_pipeline.STAGES[-1][1](spark, df, sf).count()
 
 
+def test_run_takes_an_awkward_table(spark, sf, tmp_path):
+    """Nulls, empty and very long texts, repeated rows: what run() keeps of them, and how often."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").where("false").write.parquet(str(tmp_path / "a" / f"{name}.parquet"))
+    fx.awkward(spark).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    # without labels all are kept; of the four rows of the same prose, one; the longer one differs by more words than near copies do or is one of them
+    ids = sorted((r["doc_id"] for r in rows), key=str)
+    assert [ids.count(i) for i in (1, 2, 3, 4, 5, 6)] == [1, 1, 1, 0, 1, 1] and len(rows) in (6, 7)
+    by = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
+    assert by[3]["token_ids"] is None and by[2]["token_ids"] == [] and by[5]["n_tokens"] > 100_000 and all(r["exact"] for r in rows if r["token_ids"] is not None)
+    fx.empty(spark).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(tmp_path / "b" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
 def test_registered():
     names = list(__spark_entry__.queries())
     assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
