@@ -112,3 +112,19 @@ def test_awkward_rows(spark):
     assert sorted((r["doc_id"], r["license"], r["start"], r["end"]) for r in got.collect()) == [(70, "MIT", 0, 5), (70, "MIT", 29, 34), (71, "MIT", 0, 5), (71, "MIT", 0, 5)]
     assert li.scan(fx.empty(spark)).count() == 0
     assert li.scan(df, templates=[("short", "two words")]).count() == 0
+
+
+def test_whole_license_texts_are_named_over_the_notices_in_them(spark):
+    names = [n for n, _ in li.TEXTS]
+    df = fx.docs(spark, *[f"Copyright (c) 2020 Some One\n\n{t}\n\nint main() {{}}" for _, t in li.TEXTS], first=0)
+    rows = li.scan(df).collect()
+    best = {}
+    for r in rows:
+        best.setdefault(r["doc_id"], []).append((r["end"] - r["start"], r["license"], r["coverage"]))
+    assert [max(best[i])[1:] for i in range(len(names))] == [(n, 1.0) for n in names]
+
+
+def test_of_equal_templates_the_first_is_named(spark):
+    twice = [("one", "some words that are the license of this work"), ("two", "some words that are the license of this work")]
+    rows = li.scan(fx.docs(spark, "here are some words that are the license of this work indeed"), twice).collect()
+    assert [(r["license"], r["template"]) for r in rows] == [("one", 0)]
