@@ -83,9 +83,12 @@ def small(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def maybe_broadcast(df: DataFrame, most: int = 400_000) -> DataFrame:
-    """``df`` with a broadcast hint if its rows, counted first, are few; else as it is (shuffle join)."""
-    return F.broadcast(df) if small(df, most) else df
+def maybe_broadcast(df: DataFrame, most: int = 400_000, most_bytes: int = 128 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if its rows are few and, counted as JSON where they vary, small; else as it is (shuffle join). Counts no further than that."""
+    fixed = all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) for f in df.schema)
+    size = F.lit(0) if fixed else F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    got = df.limit(most + 1).select(size.cast("long").alias("b")).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if got["n"] <= most and got["b"] <= most_bytes else df
 
 
 def texts_of(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
