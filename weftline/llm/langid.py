@@ -62,7 +62,7 @@ def features(texts: pa.Array) -> np.ndarray:
         begins = begins[begins + 1 < len(ok)] + 1
         ok[begins[begins >= 0]] = False
         bucket = ((code * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int64)
-        doc = np.searchsorted(off, np.arange(at, at + len(part)), side="right") - 1 if rows > 1 else np.zeros(len(part), np.int64)
+        doc = np.repeat(np.arange(rows), np.diff(np.clip(off, at, at + len(part))))
         count += np.bincount((bucket + doc * BUCKETS)[ok], minlength=rows * BUCKETS)
     count = count.reshape(rows, BUCKETS).astype(np.float32)
     norm = np.sqrt((count * count).sum(axis=1, keepdims=True))
