@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import ids, jsonbag, names, routes, sqltext, text
 from weftline.model import Graph
-from weftline.operators import dedupe, links
+from weftline.operators import dedupe, links, reports
 from weftline.operators.api import Api
 from weftline.plans import lift
 from weftline.plans.lift import SQL as L
@@ -191,3 +191,72 @@ def hashed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that are hashes of what they stand for."""
     b = _text("b", F.col("o_orderkey"))
     return table(spark, sf_dir, "orders").select("o_orderkey", ids.edge_id(F.lit("a"), F.lit("READS"), b, F.lit("x"), F.lit("TECHNICAL")).alias("edge_id"), ids.placeholder_id(b).alias("placeholder_id"))
+
+
+# ---- reports
+
+@query("""WITH c AS (SELECT source AS path, CASE WHEN doc_id % 5 = 0 THEN 'OTHER' ELSE upper(lang) END AS class, count(*) AS n FROM documents GROUP BY ALL) SELECT path AS source_path, CAST(sum(n) AS BIGINT) AS comments, string_agg(class||'='||n, ', ' ORDER BY class) AS summary FROM c GROUP BY path""")
+def comment_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of each file by class."""
+    d = table(spark, sf_dir, "documents")
+    bag = F.when(F.col("doc_id") % 5 == 0, F.lit("{}")).otherwise(F.to_json(F.struct(F.upper("lang").alias("classification"))))
+    return reports.comment_classes(d.select(F.col("source").alias("source_path"), bag.alias("properties_json")))
+
+
+@query("""WITH f AS (SELECT p_partkey, 'src/'||p_brand||'/'||replace(p_name, ' ', '_')||CASE WHEN p_partkey % 2 = 0 THEN '.sql' ELSE '.pkb' END AS path, 'src/'||p_brand||'/'||replace(p_name, ' ', '_')||'.md' AS out FROM part) SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY out) > 1 THEN path||'.md' ELSE out END AS output_path FROM f""")
+def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of rendered files; those that would collide keep their ending."""
+    ending = F.when(F.col("p_partkey") % 2 == 0, ".sql").otherwise(".pkb")
+    p = table(spark, sf_dir, "part").select("p_partkey", _text("src/", F.col("p_brand"), "/", F.replace("p_name", F.lit(" "), F.lit("_")), ending).alias("relative_path"))
+    return reports.output_paths(p).select("p_partkey", "output_path")
+
+
+@query("""SELECT 'part:'||l_partkey AS node_id, min({'a': CAST(l_linenumber AS BIGINT), 'b': 'order:'||l_orderkey}).a AS start_line, min({'a': CAST(l_linenumber AS BIGINT), 'b': 'order:'||l_orderkey}).b AS source_path FROM lineitem GROUP BY l_partkey""")
+def first_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each node is declared first."""
+    n = F.col("l_linenumber").cast("long")
+    e = table(spark, sf_dir, "lineitem").select(F.lit("NODE").alias("target_type"), _text("part:", F.col("l_partkey")).alias("target_id"), _text("order:", F.col("l_orderkey")).alias("source_path"), n.alias("start_line"), (n + F.col("l_quantity").cast("long")).alias("end_line"))
+    return reports.declarations(e).select("node_id", "start_line", "source_path")
+
+
+@query("SELECT l_orderkey, l_linenumber AS line, CAST(min(l_quantity) AS BIGINT) AS \"offset\" FROM lineitem GROUP BY ALL")
+def first_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first place on each line."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("offset"))
+    return reports.first_offsets(li, ["l_orderkey"])
+
+
+@query("""WITH e AS (SELECT p_partkey, 'api-operation:app:GET:'||replace(p_name, ' ', '-') AS scoped, p_brand AS path, p_size FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY scoped ORDER BY path, p_size, p_partkey) AS n FROM e) SELECT p_partkey, n = 1 AS keeps, CASE WHEN n = 1 THEN scoped END AS kept_id FROM r""")
+def operation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of endpoints of one route, the first keeps its id, the others have their own."""
+    p = table(spark, sf_dir, "part")
+    e = p.select("p_partkey", _text("api-operation:app:GET:", F.replace("p_name", F.lit(" "), F.lit("-"))).alias("scoped_id"), F.col("p_brand").alias("relative_path"), F.col("p_size").alias("start"), F.col("p_partkey").alias("handler_end"), _text("e", F.col("p_partkey")).alias("endpoint_key"))
+    r = reports.operation_ids(e, F.lit("app"))
+    keeps = F.col("operation_id") == F.col("scoped_id")
+    return r.select("p_partkey", keeps.alias("keeps"), F.when(keeps, F.col("operation_id")).alias("kept_id"))
+
+
+@query("""WITH x AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN lower(p_brand) ELSE lower(p_type) END AS executable, p_partkey, unnest([lower(p_type), CASE WHEN p_partkey % 3 = 0 THEN lower(p_brand) END]) AS name FROM part) SELECT executable, count(DISTINCT p_partkey) AS projects, array_to_string(list_sort(list_distinct(list(name) FILTER (WHERE name IS NOT NULL))), ',') AS names FROM x GROUP BY executable""")
+def executable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executables by target or assembly, and the names that lead to them."""
+    p = table(spark, sf_dir, "part")
+    target = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.upper("p_brand"), F.lit(".EXE"))).otherwise(" ")
+    x = reports.executables(p.select(F.col("p_partkey").cast("string").alias("project"), F.concat(F.col("p_type"), F.lit(".dll")).alias("assembly_name"), target.alias("target_name")))
+    return x.select("executable", "projects", F.array_join("names", ",").alias("names"))
+
+
+@query("""WITH i AS (SELECT 'catalog/'||p_brand AS p, p_partkey AS line, 'CATALOG_INVALID_ROW' AS t, p_name AS m, row_number() OVER (ORDER BY 'catalog/'||p_brand, p_partkey) AS n FROM part) SELECT 'issues' AS part, n, '- '||t||': '||m||' ('||p||')' AS line FROM i WHERE n <= 100 UNION ALL SELECT 'metrics', row_number() OVER (ORDER BY r_name), '- '||r_name||': '||r_regionkey||'.0' FROM region""")
+def quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and the first hundred catalog issues of a report."""
+    m = table(spark, sf_dir, "region").select(F.col("r_name").alias("metric_name"), F.col("r_regionkey").cast("double").alias("metric_value"))
+    i = table(spark, sf_dir, "part").select(_text("catalog/", F.col("p_brand")).alias("source_path"), F.col("p_partkey").alias("line"), F.lit("CATALOG_INVALID_ROW").alias("issue_type"), F.col("p_name").alias("message"))
+    return reports.quality_lines(m, i).withColumn("n", F.col("n").cast("long"))
+
+
+@query("""SELECT p_partkey, 'tables/v3/'||left(sha256(p_brand||'|'||p_type||'|'||p_name), 24)||'.csv' AS file, CASE p_partkey % 4 WHEN 0 THEN 'out/'||p_partkey||'.csv' END AS safe FROM part""")
+def column_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed names of column files, and which output names are safe."""
+    k = F.col("p_partkey")
+    m = k % 4
+    asked = F.when(m == 0, _text("out\\", k, ".csv")).when(m == 1, _text("../", k, ".csv")).when(m == 2, _text("/x/", k, ".csv")).otherwise(_text("tables/v3/", k, ".CSV"))
+    return table(spark, sf_dir, "part").select("p_partkey", reports.column_file(F.col("p_brand"), F.col("p_type"), F.col("p_name")).alias("file"), reports.safe_output(asked).alias("safe"))

@@ -366,7 +366,7 @@ def merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(L + """, k AS (SELECT issue_id, issue_type, severity, 'p'||left(source_path, 10) AS path FROM issues), m AS (SELECT *, row_number() OVER (PARTITION BY path, issue_type ORDER BY issue_id) AS rn, count(*) OVER (PARTITION BY path, issue_type) AS n FROM k)
-SELECT issue_id, issue_type, path AS source_path FROM m WHERE n <= 20 OR rn < 20 UNION ALL SELECT 'issue-summary:'||sha256(string_agg(issue_id, '|' ORDER BY issue_id)), issue_type, path FROM m WHERE n > 20 AND rn >= 20 GROUP BY issue_type, path""")
+SELECT issue_id, issue_type, path AS source_path FROM m WHERE n <= 20 OR rn < 20 UNION ALL SELECT 'issue-summary:'||sha256(path||'|'||issue_type||'|'||count(*)||'|'||max(issue_id)), issue_type, path FROM m WHERE n > 20 AND rn >= 20 GROUP BY issue_type, path""")
 def bounded_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most twenty issues of a type and path, the last a summary."""
     i = lift.issues(spark, sf_dir).withColumn("source_path", F.concat(F.lit("p"), F.left("source_path", F.lit(10))))
