@@ -227,7 +227,7 @@ def first_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT p_partkey, 'api-operation:app:GET:'||replace(p_name, ' ', '-') AS scoped, p_brand AS path, p_size FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY scoped ORDER BY path, p_size, p_partkey) AS n FROM e) SELECT p_partkey, n = 1 AS keeps, CASE WHEN n = 1 THEN scoped END AS kept_id FROM r""")
-def operation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def api_operation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of endpoints of one route, the first keeps its id, the others have their own."""
     p = table(spark, sf_dir, "part")
     e = p.select("p_partkey", _text("api-operation:app:GET:", F.replace("p_name", F.lit(" "), F.lit("-"))).alias("scoped_id"), F.col("p_brand").alias("relative_path"), F.col("p_size").alias("start"), F.col("p_partkey").alias("handler_end"), _text("e", F.col("p_partkey")).alias("endpoint_key"))

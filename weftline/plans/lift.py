@@ -89,7 +89,9 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(nodes(spark, sf_dir), edges(spark, sf_dir), evidence(spark, sf_dir), None, issues(spark, sf_dir))
+    """All tables: the published nodes and edges, evidence and issues from the tables they are lifted from."""
+    g = published(spark, sf_dir)
+    return g.with_(evidence=evidence(spark, sf_dir), issues=issues(spark, sf_dir))
 
 
 _PUBLISHED: dict[tuple[str, str], Graph] = {}
@@ -99,9 +101,9 @@ def published(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph in the shared folder, written once in a session: nodes, edges sorted by source and, for traces against them, by target, so that few ids are read from few row groups."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PUBLISHED:
-        e = written(edges(spark, sf_dir).drop("graph_layer", "raw_operation", "properties_json").repartitionByRange("source_node_id").sortWithinPartitions("source_node_id"))
+        e = written(edges(spark, sf_dir).repartitionByRange("source_node_id").sortWithinPartitions("source_node_id"))
         by_target = written(e.select("edge_id", "source_node_id", "target_node_id").repartitionByRange("target_node_id").sortWithinPartitions("target_node_id"))
-        _PUBLISHED[key] = Graph(written(nodes(spark, sf_dir).drop("default_display_name", "repository_key", "graph_role")), e, extra={"edges_by_target": by_target})
+        _PUBLISHED[key] = Graph(written(nodes(spark, sf_dir)), e, extra={"edges_by_target": by_target})
     return _PUBLISHED[key]
 
 
