@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from weftline.functions import jsonbag, routes
 from weftline.functions.ids import decoded_id, edge_id, placeholder_id
 from weftline.model import DB_EDGES, DB_OBJECTS, DEFERRED, ROUTINES, Graph, bag, filled, one_of
-from weftline.session import ship
+from weftline.session import maybe_broadcast, ship, written
 
 
 def api_signature(nodes: DataFrame) -> DataFrame:
@@ -106,7 +106,11 @@ def rewritten_bags(df: DataFrame, aliases: DataFrame) -> DataFrame:
     """``df`` with every string in its bags that is an ``old`` id replaced by the ``new`` one; each different bag is read once, and only those with a hit are written anew."""
     ship(df.sparkSession)
     bags = df.select(F.col("properties_json").alias("bag")).where(F.length("bag") > 4).distinct()
-    hits = bags.withColumn("old", F.explode(jsonbag.strings("bag"))).join(aliases.select("old", "new"), "old")
+    # without escapes, what stands between quotes is the string itself (or a key, which is no id); only bags with escapes need a parser here
+    escaped = F.col("bag").contains("\\")
+    quoted = bags.where(~escaped).withColumn("old", F.explode(F.array_distinct(F.regexp_extract_all("bag", F.lit('"([^"]*)"'), 1))))
+    parsed = bags.where(escaped).withColumn("old", F.explode(jsonbag.strings("bag")))
+    hits = quoted.unionByName(parsed).join(aliases.select("old", "new"), "old")
     names = hits.groupBy("bag").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_set(F.struct("old", "new"))))).alias("names"))
     fresh = names.select("bag", jsonbag.rewritten("bag", "names").alias("fresh"))
     return df.join(fresh, df["properties_json"] == fresh["bag"], "left").withColumn("properties_json", F.coalesce("fresh", "properties_json")).select(*df.columns)
@@ -114,7 +118,7 @@ def rewritten_bags(df: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def replace_nodes(graph: Graph, aliases: DataFrame) -> Graph:
     """The graph with ``old_id`` replaced by ``new_id`` everywhere (ends, targets, owners, strings in bags); edges that become equal are merged, and their ids replaced too."""
-    a = aliases.select("old_id", "new_id")
+    a = maybe_broadcast(written(aliases.select("old_id", "new_id")))  # these and the moved edges are read several times
 
     def swap(df: DataFrame, column: str, when: Column | None = None) -> DataFrame:
         hit = F.col(column) == F.col("old_id")
@@ -125,9 +129,9 @@ def replace_nodes(graph: Graph, aliases: DataFrame) -> Graph:
 
     nodes = graph.nodes.join(a.select(F.col("old_id").alias("node_id")), "node_id", "left_anti")
     before = graph.edges.withColumn("was", F.col("edge_id"))
-    moved = swap(swap(before, "source_node_id"), "target_node_id").withColumn("edge_id", edge_id("source_node_id", "edge_type", "target_node_id", "raw_operation", "graph_layer"))
+    moved = written(swap(swap(before, "source_node_id"), "target_node_id").withColumn("edge_id", edge_id("source_node_id", "edge_type", "target_node_id", "raw_operation", "graph_layer")))
     edge_alias = moved.where("was <> edge_id").select(F.col("was").alias("old_edge"), F.col("edge_id").alias("new_edge"))
-    every = a.select(F.col("old_id").alias("old"), F.col("new_id").alias("new")).union(edge_alias).distinct()
+    every = maybe_broadcast(written(a.select(F.col("old_id").alias("old"), F.col("new_id").alias("new")).union(edge_alias).distinct()))
     bags = lambda df: rewritten_bags(df, every) if df is not None and "properties_json" in df.columns else df
     edges = merge_edges(bags(moved.drop("was")))
     evidence, comments, issues = graph.evidence, graph.comments, graph.issues
