@@ -149,6 +149,81 @@ def test_trees_and_shards_leave_out_what_is_out_of_reach(spark, monkeypatch):
     assert cells < 0.05 * 400 * 399 / 2
 
 
+def spread_and_near(n: int, seed: int) -> np.ndarray:
+    """Evenly spread fingerprints, and for every twentieth others that differ from it in 1 to 25 bits."""
+    rng = np.random.default_rng(seed)
+    fps = rng.integers(0, 1 << 64, (n, 2), dtype=np.uint64)
+    near = fps[::20].copy()
+    for i, row in enumerate(near):
+        for b in rng.choice(128, 1 + i % 25, replace=False):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    return rng.permutation(np.unique(np.concatenate([fps, near]), axis=0))
+
+
+def all_pairs(query: np.ndarray, data: np.ndarray, radius: int) -> set[tuple[int, int, int]]:
+    found = []
+    for i in range(0, len(query), 256):
+        d = simhash.hamming(query[i : i + 256], data)
+        a, b = np.nonzero(d <= radius)
+        found += zip((a + i).tolist(), b.tolist(), d[a, b].tolist())
+    return set(found)
+
+
+def test_evenly_spread_fingerprints_are_looked_up(monkeypatch):
+    """Most pairs of a large shard are never compared, though no vantage point separates them; every near pair is found, once."""
+    fps = spread_and_near(6000, 3)
+    compared = 0
+    count = np.bitwise_count
+
+    def counting(x, **out):
+        nonlocal compared
+        compared += x.size
+        return count(x, **out)
+
+    none = np.zeros(len(fps), np.int64)
+    monkeypatch.setattr(np, "bitwise_count", counting)
+    got = [(max(x), min(x), int(z)) for a, b, d in simhash._near(fps, none, none, none, none, simhash.RADIUS) for *x, z in zip(a.tolist(), b.tolist(), d)]
+    monkeypatch.undo()
+    assert len(got) == len(set(got)) and set(got) == {(a, b, d) for a, b, d in all_pairs(fps, fps, simhash.RADIUS) if a > b}
+    assert len(got) > 200 and compared < 0.1 * len(fps) ** 2 / 2
+
+
+@pytest.mark.parametrize("radius", [0, 3, 18, 21])
+@pytest.mark.parametrize("n", [6, 9, 12])
+def test_every_index_finds_all_pairs_once(monkeypatch, n, radius):
+    monkeypatch.setattr(simhash, "MET_AT_ONCE", 50)  # values that more share are compared in pieces
+    fps = spread_and_near(500, 4)
+    fps = np.concatenate([fps, fps[:1] ^ np.arange(1, 200, dtype=np.uint64)[:, None] * np.array([[0, 1 << 30]], np.uint64)])  # many share all blocks but two
+    other = np.concatenate([fps[::3], spread_and_near(100, 5)])
+    for query, own in ((fps, True), (other, False)):
+        got = [(*x, z) for a, b, d in simhash.indexed_pairs(query, fps, own, radius, n) for *x, z in zip(a.tolist(), b.tolist(), d.tolist())]
+        want = all_pairs(query, fps, radius)
+        if own:
+            got, want = [(max(a, b), min(a, b), d) for a, b, d in got], {(a, b, d) for a, b, d in want if a > b}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_an_index_is_left_where_it_compares_more():
+    rng = np.random.default_rng(6)
+    alike = np.unique(np.uint64(1) << rng.integers(0, 64, (4000, 2), dtype=np.uint64), axis=0)
+    assert simhash.cheapest_index(alike, alike, True, simhash.RADIUS) == 0
+    assert simhash.cheapest_index(fps := spread_and_near(6000, 3), fps, True, simhash.RADIUS) in simhash._CUTS
+    assert simhash.cheapest_index(fps, fps, True, 60) == 0
+
+
+def test_a_task_has_one_pair_of_shards_and_looks_it_up(spark):
+    fps = spread_and_near(10_000, 7)
+    table = spark.createDataFrame([tuple(map(int, r)) for r in fps.view(np.int64)], "hi long, lo long")
+    met = simhash._in_shards(table, len(fps), simhash.RADIUS, 5500)
+    tasks = met.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("s", "t").alias("n"), F.count("*").alias("rows")).collect()
+    assert [r["n"] for r in tasks] == [1, 1, 1] and min(r["rows"] for r in tasks) ** 2 >= simhash.INDEX_FROM
+    rows = simhash.pairs(table, shard=5500).collect()
+    at = {tuple(map(int, r)): i for i, r in enumerate(fps.view(np.int64))}
+    got = [(at[r["hi_a"], r["lo_a"]], at[r["hi_b"], r["lo_b"]], r["distance"]) for r in rows]
+    got = [(max(a, b), min(a, b), d) for a, b, d in got]
+    assert len(got) == len(set(got)) and set(got) == {(a, b, d) for a, b, d in all_pairs(fps, fps, simhash.RADIUS) if a > b}
+
+
 def test_large_group_of_copies_and_chain(spark):
     base = corpus(1)[0]
     df = fx.docs(spark, *[base] * 3000, "something else entirely that has words of its own")

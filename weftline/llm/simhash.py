@@ -1,4 +1,4 @@
-"""Near duplicates: 128-bit SimHash fingerprints, searched exactly with vantage-point trees.
+"""Near duplicates: 128-bit SimHash fingerprints, searched exactly with indexes of their blocks and vantage-point trees.
 
 A fingerprint is the majority, bit by bit, over a text's different words, each weighted by the root of its count.  Two
 documents are near duplicates if their fingerprints differ in at most ``RADIUS`` bits; how long they are, and in
@@ -7,13 +7,16 @@ which order the words come, doesn't matter.  The triangle inequality holds for H
 * equal fingerprints are collapsed first; only distinct ones are searched;
 * shards are ranges of the sides and distances of fixed vantage points; shards whose distances to some vantage point are further apart
   than the radius aren't compared, each other pair of shards is a task;
-* in a task, a vantage-point tree over the shard; a query goes down the sides that the triangle
-  inequality leaves it, and is compared bit by bit with the leaves it comes to.
+* in a task, the shard is indexed by each of 6 to 12 blocks of its bits.  The radius is dealt out to the blocks so that near fingerprints
+  are within its share in at least one (pigeonhole); a query looks up every value within the share of its own, and is compared with what
+  has it.  A pair counts in the first block that brings it together;
+* where so many share a block's values that this compares more, a vantage-point tree over the shard instead: a query goes down the
+  sides that the triangle inequality leaves it, and is compared bit by bit with the leaves it comes to.
 
-That is quadratic where fingerprints are spread evenly, since then 18 bits are too many for vantage points to rule much out.  So
-a table of more than ``BLOCKS_FROM`` fingerprints is cut by pigeonhole first: of the four blocks of 32 bits, one differs in at most
-four bits, so two near fingerprints meet at a value that is two bits at most from that block of either.  What meets there is a
-shard, and compared as above.  Both ways are exact and find the same pairs.
+Where fingerprints are spread evenly vantage points rule hardly anything out, since 18 bits are too many, so every two shards meet; the
+index then compares a few of thousands of pairs.  From ``BLOCKS_FROM`` fingerprints on, the table itself is cut by pigeonhole: of the four blocks of 32
+bits, one differs in at most four bits, so two near fingerprints meet at a value that is two bits at most from that block of either.
+What meets there is a shard, and compared as above.  All ways are exact and find the same pairs.
 
 A task reports a spanning forest of the pairs it finds, which has the same connected components as
 all its pairs; ``pairs`` reports them all.  The components are the groups.
@@ -22,6 +25,8 @@ all its pairs; ``pairs`` reports them all.  The components are the groups.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +39,24 @@ from weftline.llm.common import Words, field, maybe_broadcast, mix, over_texts,
 
 #: Bits, of 128, in which fingerprints of near duplicates may differ; under 20, so that the pigeonhole holds.
 RADIUS = 18
-#: Fingerprints of a shard, about.
+#: Fingerprints of a shard, about; large tables are cut into SHARDS of them, or into more where one would have over LARGE times as many.
 SHARD = 32_768
-#: Distinct fingerprints from which on the pigeonhole costs less than comparing all shards.
-BLOCKS_FROM = 4_000_000
+SHARDS = 8
+LARGE = 16
+#: Distinct fingerprints from which on the pigeonhole between tasks is worth 2,116 rows a fingerprint (shuffled, over 80 KB).
+BLOCKS_FROM = 150_000_000
 #: Rows of a task of the pigeonhole, about.
 BUCKET = 1 << 20
 #: Fingerprints in a leaf of a task's tree.
 LEAF = 256
+#: Pairs of two shards from which on an index is considered, and the numbers of blocks that it may have.
+INDEX_FROM = 1 << 24
+_CUTS = range(6, 13)
+#: Seconds, in units of comparing one pair in a leaf, of looking up one value and of comparing one pair that it brings together.
+_LOOKUP, _MET = 6, 12
+#: Queries that are looked up at once, pairs that are compared at once: bound a worker's memory, not the result.
+LOOKED_UP = 1 << 14
+MET_AT_ONCE = 1 << 18
 #: Queries compared with a leaf at once, and pairs handed on at once: bound a worker's memory, not the result.
 BLOCK = 256
 PAIRS_AT_ONCE = 1 << 20
@@ -186,6 +201,112 @@ def shard_pairs(query: np.ndarray, data: np.ndarray, own: bool, radius: int, lea
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
+def index_blocks(n: int, radius: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, share) of ``n`` blocks of 128 bits. Two fingerprints within the radius differ in at most ``share`` bits of some block; -1: of others than this."""
+    size, share = [128 // n + (i < 128 % n) for i in range(n)], [(radius + 1) // n + (i < (radius + 1) % n) - 1 for i in range(n)]
+    return [(sum(size[:i]), size[i], share[i]) for i in range(n)]
+
+
+@lru_cache(None)
+def _changes(width: int, share: int) -> dict[int, list[int]]:
+    """By their highest bit (-1: none), what at most ``share`` bits of ``width`` are changed by."""
+    out: dict[int, list[int]] = {}
+    for k in range(share + 1):
+        for bits in combinations(range(width), k):
+            out.setdefault(max(bits, default=-1), []).append(sum(1 << b for b in bits))
+    return out
+
+
+def _block(fp: np.ndarray, at: int, width: int) -> np.ndarray:
+    """Bits ``at`` to ``at`` + ``width`` of each fingerprint, counted from the least of the second half."""
+    hi, lo = fp[:, 0], fp[:, 1]
+    v = hi >> np.uint64(at - 64) if at >= 64 else lo >> np.uint64(at)
+    if at < 64 < at + width:
+        v = v | hi << np.uint64(64 - at)
+    return (v & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def cheapest_index(query: np.ndarray, data: np.ndarray, own: bool, radius: int) -> int:
+    """The number of blocks with which the index costs least, by some of the queries; 0 if comparing all pairs costs less."""
+    some = query[:: max(1, len(query) // 256)]
+    best, least = 0, float(len(data)) * (0.5 if own else 1)
+    for n in _CUTS:
+        cost, blocks = 0.0, index_blocks(n, radius)
+        if blocks[0][2] > 3:  # too many values to look up
+            continue
+        for at, width, share in blocks:
+            if share < 0:
+                continue
+            size = np.bincount(_block(data, at, width), minlength=1 << width)
+            changes = np.array([f for fs in _changes(width, share).values() for f in fs])
+            met = sum(int(size.take(v ^ changes).sum()) for v in _block(some, at, width))
+            cost += (len(changes) * _LOOKUP + met / len(some) * _MET) * (0.5 if own else 1)
+        if cost < least:
+            best, least = n, cost
+    return best
+
+
+def indexed_pairs(query: np.ndarray, data: np.ndarray, own: bool, radius: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``shard_pairs`` gives, by an index of ``n`` blocks."""
+    blocks = index_blocks(n, radius)
+    every = np.arange(max(MET_AT_ONCE, len(data)) + 1)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    count = 0
+    for k, (at, width, share) in enumerate(blocks):
+        if share < 0:
+            continue
+        value = _block(data, at, width)
+        order = np.argsort(value, kind="stable")
+        size = np.bincount(value, minlength=1 << width).astype(np.int32)
+        first = (np.cumsum(size) - size).astype(np.int32)
+        asked, asker = (value, order) if own else ((v := _block(query, at, width)), np.argsort(v, kind="stable"))
+        asked = asked[asker]
+        far = 0 if at + width // 2 < 64 else 1  # the half that the block isn't in tells pairs apart best
+        there, here = data[order, far], query[asker, far]
+        for top, changes in _changes(width, share).items():
+            some = np.flatnonzero(asked >> top & 1 == 0) if own and top >= 0 else np.arange(len(asked))  # if own: the lesser value looks up the greater
+            for part in (some[i : i + LOOKED_UP] for i in range(0, len(some), LOOKED_UP)):
+                v, half = asked[part], here[part]
+                for change in changes:
+                    u = v ^ change
+                    many = size.take(u)
+                    if own and not change:  # each with those that come after it
+                        begin = part + 1
+                        many = first.take(u) + many - begin
+                        full = np.flatnonzero(many)
+                        begin = begin.take(full)
+                    else:
+                        full = np.flatnonzero(many)
+                        begin = first.take(u.take(full))
+                    many = many.take(full)
+                    total = np.cumsum(many, dtype=np.int64)
+                    i = 0
+                    while i < len(full):
+                        before = int(total[i - 1]) if i else 0
+                        j = max(int(np.searchsorted(total, before + MET_AT_ONCE, side="right")), i + 1)
+                        times, upto = many[i:j], total[i:j] - before
+                        row = np.repeat(begin[i:j] - upto + times, times)
+                        row += every[: upto[-1]]
+                        x = np.repeat(half.take(full[i:j]), times)
+                        x ^= there.take(row)
+                        near = np.flatnonzero(np.bitwise_count(x) <= radius)
+                        if len(near):
+                            a, b = asker[part[full[i + np.searchsorted(upto, near, side="right")]]], order[row[near]]
+                            d = query[a] ^ data[b]
+                            dist = np.bitwise_count(d).sum(axis=1, dtype=np.int64)
+                            fine = dist <= radius
+                            for at_, width_, share_ in blocks[:k]:
+                                fine &= np.bitwise_count(_block(d, at_, width_)) > share_ if share_ >= 0 else True
+                            held.append((a[fine], b[fine], dist[fine]))
+                            count += len(held[-1][0])
+                            if count >= PAIRS_AT_ONCE:
+                                yield tuple(np.concatenate(x) for x in zip(*held))
+                                held, count = [], 0
+                        i = j
+    if count:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
 class Forest:
     """Union-find that keeps the edges that joined two trees."""
 
@@ -228,12 +349,15 @@ def _in_shards(fps: DataFrame, n: int, radius: int, shard: int) -> DataFrame:
     far = [_distance(v) for v in _VANTAGE]
     code = sum((F.when(d > 64, 1 << (len(far) - 1 - j)).otherwise(0) for j, d in enumerate(far)), F.lit(0))
     placed = written(fps.withColumn("code", code).repartitionByRange(shards, "code", "hi", "lo").withColumn("at", F.spark_partition_id()).drop("code"))
-    edges = placed.groupBy("at").agg(*(f(d).alias(f"{f.__name__}{j}") for j, d in enumerate(far) for f in (F.min, F.max))).orderBy("at").collect()  # a row per shard: BLOCKS_FROM / SHARD at most
+    edges = placed.groupBy("at").agg(*(f(d).alias(f"{f.__name__}{j}") for j, d in enumerate(far) for f in (F.min, F.max))).orderBy("at").collect()  # a row per shard: BLOCKS_FROM / (LARGE * SHARD) at most
     at = np.array([r["at"] for r in edges])
     low, high = (np.array([[r[f"{f}{j}"] for j in range(len(far))] for r in edges]).reshape(-1, len(far)) for f in ("min", "max"))
     meets = [(int(at[i]), int(at[j])) for i in range(len(at)) for j in i + np.flatnonzero(((low[i:] - high[i] <= radius) & (low[i] - high[i:] <= radius)).all(axis=1))]
-    ends = [(s, s, t) for s, t in meets] + [(t, s, t) for s, t in meets if s != t]
-    return placed.join(F.broadcast(fps.sparkSession.createDataFrame(ends, "at int, s int, t int")), "at").withColumn("bucket", F.xxhash64("s", "t"))
+    # numbers that a shuffle by hash sends to different tasks, so that each gets one pair of shards
+    tasks = max(1, len(meets))
+    own = [r["bucket"] for r in fps.sparkSession.range(32 * tasks).groupBy(F.pmod(F.hash("id"), F.lit(tasks))).agg(F.min("id").alias("bucket")).collect()]
+    ends = [(at, s, t, own[i % len(own)]) for i, (s, t) in enumerate(meets) for at in {s, t}]
+    return placed.join(F.broadcast(fps.sparkSession.createDataFrame(ends, "at int, s int, t int, bucket long")), "at").repartition(tasks, "bucket")
 
 
 def _in_blocks(fps: DataFrame, n: int, shard: int) -> DataFrame:
@@ -281,7 +405,9 @@ def _near(bits: np.ndarray, cell: np.ndarray, at: np.ndarray, s: np.ndarray, t:
         rows = np.arange(b, b + n)
         data, query = rows[at[rows] == s[b]], rows[at[rows] == t[b]]
         if len(data) and len(query):
-            for x, y, d in shard_pairs(bits[query], bits[data], bool(s[b] == t[b]), radius):
+            sets, own = (bits[query], bits[data]), bool(s[b] == t[b])
+            cut = cheapest_index(*sets, own, radius) if len(query) * len(data) >= INDEX_FROM else 0
+            for x, y, d in indexed_pairs(*sets, own, radius, cut) if cut else shard_pairs(*sets, own, radius):
                 yield query[x], data[y], d
 
 
@@ -310,7 +436,7 @@ def _search(fps: DataFrame, radius: int, shard: int, forest: bool, blocks_from:
     ship(fps.sparkSession)
     n = fps.count()
     by_block = n >= blocks_from and radius < 20
-    met = _in_blocks(fps, n, shard) if by_block else _in_shards(fps, n, radius, shard)
+    met = _in_blocks(fps, n, shard) if by_block else _in_shards(fps, n, radius, min(max(-(-n // SHARDS), shard), LARGE * shard))
     names = ["k", "v", "s", "t"] if by_block else ["s", "t"]
 
     def task(table: pa.Table) -> pa.Table:
