@@ -151,7 +151,7 @@ class Api:
 
     def _traced(self, text: str, starts: DataFrame, direction: str, types: frozenset[str]) -> Answer:
         t = trace(self.graph, starts, direction, types, self.options)
-        nodes = self.graph.nodes.join(t.nodes, "node_id")
+        nodes = self.graph.nodes.join(t.nodes.drop("node_type"), "node_id")
         edges = self.graph.edges.join(t.edges, "edge_id")
         evidence = None
         if self.graph.evidence is not None:
@@ -165,10 +165,10 @@ class Api:
     def impact_table(self, database: str, schema: str, table: str) -> Answer:
         needle = ".".join(x for x in (database, schema, table) if x)
         starts = self.graph.nodes.where(one_of("node_type", DB_OBJECTS) | ((F.col("node_type") == "UNRESOLVED_REFERENCE") & (bag("properties_json", "table") != ""))).where(table_lookup(needle))
-        return self._traced(f"impact of {needle}", starts.select("node_id"), "in", CODE | UI | JOBS)
+        return self._traced(f"impact of {needle}", starts.select("node_id", "node_type"), "in", CODE | UI | JOBS)
 
     def trace_ui_to_db(self, query: str) -> Answer:
-        found = self.find_node(qualified_name=query, limit=20).nodes.select("node_id")
+        found = self.find_node(qualified_name=query, limit=20).nodes.select("node_id", "node_type")
         if small(found, 0) and " " in query:
             found = self.operations(*query.split(" ", 1))
         return self._traced(f"from {query} to the database", found, "out", DB_OBJECTS)

@@ -25,7 +25,7 @@ def is_target(types: frozenset[str] | None, db_rule: bool = False) -> Column:
 
 @dataclass(frozen=True)
 class Trace:
-    """nodes: node_id, depth, target; edges: edge_id, depth.  Starts have depth 0.  ``truncated``: a budget was reached."""
+    """nodes: node_id, depth, target, node_type (null for starts that no node has); edges: edge_id, depth.  Starts have depth 0.  ``truncated``: a budget was reached."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -52,22 +52,42 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _only(df: DataFrame, column: str, kinds: list[str] | None) -> DataFrame:
+    """The rows of ``kinds``; all if those are unknown.  Tables that are unions by type are read only where they hold one of them."""
+    return df if kinds is None else df.where(F.col(column).isin(*kinds)) if kinds else df.where("false")
+
+
+def _kinds_of(df: DataFrame, column: str = "node_type") -> list[str]:
+    """The different types in ``df``: as many as the vocabulary has, at most."""
+    return sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
+
+
+def typed(edges: DataFrame) -> bool:
+    """Whether edges say of what type their ends are, as the lift does."""
+    return {"source_type", "target_type"} <= {*edges.columns}
+
+
 def trace(graph: Graph, starts: DataFrame, direction: str = "out", target_types: frozenset[str] | None = None, options: Options = Options(), db_rule: bool | None = None, max_depth: int | None = None) -> Trace:
     """Everything reachable from ``starts`` (node_id) within the depth; targets are recorded but not expanded, starts always are.
 
     ``direction``: out along the edges, in against them.  Budgets on nodes and edges (0: none) cut by level, then id: the
-    engine's own order, since nothing orders the queue of a distributed search otherwise.  A level writes its edges and its new
-    nodes, whose numbers come with the writing; nothing of earlier levels is written again.
+    engine's own order, since nothing orders the queue of a distributed search otherwise.  A level writes its new nodes, whose
+    numbers come with the writing; nothing of earlier levels is written again.  Edges are written only where a budget cuts them:
+    else they are those that leave the expanded nodes, found again when they are read.
     """
-    here, there = ("source_node_id", "target_node_id") if direction == "out" else ("target_node_id", "source_node_id")
+    here, there = ("source", "target") if direction == "out" else ("target", "source")
     db_rule = target_types == DB_OBJECTS if db_rule is None else db_rule
     depth_limit = options.trace_depth if max_depth is None else max_depth
-    kinds = graph.nodes.select(F.col("node_id").alias("next"), is_target(target_types, db_rule).alias("target"))
-    of = graph.edges if direction == "out" else graph.extra.get("edges_by_target", graph.edges)
-    steps = of.select(F.col(here).alias("node_id"), F.col(there).alias("next"), "edge_id")
-    first, n = kept(starts.select("node_id").distinct().withColumn("target", F.lit(False)))
-    levels: list[DataFrame] = [first]  # of each level the nodes that no level before has: node_id, target
-    walked: list[DataFrame] = []
+    bounded, known_types = bool(options.max_nodes or options.max_edges), typed(graph.edges)
+    kinds = graph.nodes.select("node_id", "node_type", is_target(target_types, db_rule).alias("target"))
+    ends = [F.col(f"{here}_type").alias("from_type"), F.col(f"{there}_type").alias("to_type")] if known_types else []
+    steps = graph.edges.select(F.col(f"{here}_node_id").alias("node_id"), F.col(f"{there}_node_id").alias("next"), "edge_id", *ends)
+    begun, n = kept(starts.select("node_id", *[c for c in ("node_type",) if c in starts.columns]).distinct())
+    own, n_own = kept(_beside(_only(kinds, "node_type", _kinds_of(begun) if "node_type" in begun.columns else None), begun.select("node_id").distinct(), n["rows"], "node_id"), goals=F.col("target"))
+    types = _kinds_of(own) if known_types else None
+    first, n = kept(begun.select("node_id").distinct().join(hinted(own.groupBy("node_id").agg(F.min("node_type").alias("node_type")), n_own["rows"]), "node_id", "left").withColumn("target", F.lit(False)))
+    levels: list[DataFrame] = [first]  # of each level the nodes that no level before has: node_id, node_type, target
+    walked: list[DataFrame] = []  # edge_id, next
     n_nodes, n_edges, truncated, frontier, at_front = n["rows"], 0, False, first, n["rows"]
     for depth in range(1, depth_limit + 1):
         if not at_front:
@@ -75,17 +95,26 @@ def trace(graph: Graph, starts: DataFrame, direction: str = "out", target_types:
         if (options.max_nodes and n_nodes >= options.max_nodes) or (options.max_edges and n_edges >= options.max_edges):
             truncated = True
             break
-        level = _beside(steps, frontier.select("node_id"), at_front, "node_id").select("edge_id", "next")
-        level, n = kept(level.join(kinds, "next").select("edge_id", "next", "target"))
-        if options.max_edges:
-            room = options.max_edges - n_edges
-            if n["rows"] > room:
-                truncated, (level, n) = True, kept(_cut(level, ["edge_id"], room))
-            n_edges += n["rows"]
-        walked.append(level.withColumn("depth", F.lit(depth)))
+        out = _beside(_only(steps, "from_type", types), frontier.select("node_id"), at_front, "node_id")
         known = _union([x.select("node_id") for x in levels])
-        new = level.groupBy(F.col("next").alias("node_id")).agg(F.max("target").alias("target")).join(known, "node_id", "left_anti")
-        new, n = kept(new, front=~F.col("target"))
+        if bounded:
+            level, n = kept(out.select("edge_id", "next").join(kinds.withColumnRenamed("node_id", "next"), "next"))
+            if options.max_edges:
+                room = options.max_edges - n_edges
+                if n["rows"] > room:
+                    truncated, (level, n) = True, kept(_cut(level, ["edge_id"], room))
+                n_edges += n["rows"]
+            new = level.withColumnRenamed("next", "node_id")
+        else:
+            level = out.join(kinds.select(F.col("node_id").alias("next")), "next", "left_semi")
+            met = out.groupBy(F.col("next").alias("node_id")).agg(F.min("to_type").alias("to_type")) if known_types else out.select(F.col("next").alias("node_id")).distinct()
+            met = met.join(known, "node_id", "left_anti")
+            if known_types:
+                met = written(met)
+            new = met.select("node_id").join(_only(kinds, "node_type", _kinds_of(met, "to_type") if known_types else None), "node_id")
+        walked.append(level.select("edge_id", "next", F.lit(depth).alias("depth")))
+        new = new.groupBy("node_id").agg(F.min("node_type").alias("node_type"), F.max("target").alias("target"))
+        new, n = kept(new.join(known, "node_id", "left_anti") if bounded else new, front=~F.col("target"))
         if options.max_nodes:
             room = max(0, options.max_nodes - n_nodes)
             if n["rows"] > room:
@@ -93,12 +122,14 @@ def trace(graph: Graph, starts: DataFrame, direction: str = "out", target_types:
             n_nodes += n["rows"]
         levels.append(new)
         frontier, at_front = new.where("not target"), n["front"]
-    nodes = _union([x.withColumn("depth", F.lit(d)) for d, x in enumerate(levels)])
+        types = _kinds_of(frontier) if known_types else None
+    nodes = _union([x.select("node_id", F.lit(d).alias("depth"), "target", "node_type") for d, x in enumerate(levels)])
     if not walked:
-        return Trace(nodes.select("node_id", "depth", "target"), graph.edges.select("edge_id", F.lit(0).alias("depth")).where("false"), truncated)
-    # a start that a cycle leads back to is a target too
-    back = _union([x.where("target").select(F.col("next").alias("node_id")) for x in walked]).distinct().join(first.select("node_id"), "node_id", "left_semi").withColumn("back", F.lit(True))
-    nodes = nodes.join(maybe_broadcast(back), "node_id", "left").select("node_id", "depth", (F.col("target") | F.coalesce("back", F.lit(False))).alias("target"))
+        return Trace(nodes, graph.edges.select("edge_id", F.lit(0).alias("depth")).where("false"), truncated)
+    if n_own["goals"]:  # a start that a cycle leads back to is a target too
+        goals = maybe_broadcast(own.where("target").select("node_id").distinct())
+        back = _union([x.select(F.col("next").alias("node_id")).join(goals, "node_id", "left_semi") for x in walked]).distinct().withColumn("back", F.lit(True))
+        nodes = nodes.join(maybe_broadcast(back), "node_id", "left").select("node_id", "depth", (F.col("target") | F.coalesce("back", F.lit(False))).alias("target"), "node_type")
     return Trace(nodes, _union([x.select("edge_id", "depth") for x in walked]).groupBy("edge_id").agg(F.min("depth").alias("depth")), truncated)
 
 
