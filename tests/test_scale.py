@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from weftline.model import DB_OBJECTS, Graph, Options
-from weftline.operators import traverse
+from weftline.operators import links, traverse
 from weftline.plans import lift, queries
 from weftline.session import shared_dir
 
@@ -40,3 +42,28 @@ def test_traces_agree_with_and_without_types(spark, sf):
         if not options.max_nodes:
             assert rows(a.edges) == rows(b.edges)
         assert a.truncated == b.truncated == bool(options.max_nodes)
+
+
+def test_jobs_of_a_name_do_not_meet_all_rules_of_it(spark):
+    n = 3000
+    jobs = spark.range(n).selectExpr("'j' || id as job_id", "'same' as name")
+    rules = spark.range(n).selectExpr("1 as priority", "'same' as name", "'e' || id as executable_id").unionByName(spark.range(n).selectExpr("2 as priority", "'same' as name", "'all' as executable_id"))
+    df = links.job_executables(jobs, rules)
+    assert joined(df) <= 3 * n
+    assert df.where("executable_id = 'all'").count() == n
+
+
+def joined(df) -> int:
+    """The most rows that a join of the plan makes."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    most, todo = 0, [plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if "Join" in name:
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        if name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most

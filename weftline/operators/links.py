@@ -241,6 +241,11 @@ def candidates(nodes: DataFrame, minimum: float = 0.85, most: int = 10) -> DataF
 
 
 def job_executables(jobs: DataFrame, rules: DataFrame) -> DataFrame:
-    """job_id, executable_id: by the rule of least priority that names exactly one executable.  jobs: job_id, name; rules: priority, name, executable_id."""
-    hits = jobs.join(rules, "name").groupBy("job_id", "priority").agg(F.count_distinct("executable_id").alias("n"), F.min("executable_id").alias("executable_id"))
-    return hits.where("n = 1").groupBy("job_id").agg(F.min_by("executable_id", "priority").alias("executable_id"))
+    """job_id, executable_id: by the rule of least priority that names exactly one executable.  jobs: job_id, name; rules: priority, name, executable_id.
+
+    A rule names one executable if its least and its largest are the same, so rules of a name are one row before they meet its jobs.
+    """
+    ends = lambda a, b: (F.min(a).alias("least"), F.max(b).alias("most"))
+    named = rules.groupBy("name", "priority").agg(*ends("executable_id", "executable_id"))
+    hits = jobs.join(named, "name").groupBy("job_id", "priority").agg(*ends("least", "most"))
+    return hits.where("least = most").groupBy("job_id").agg(F.min_by("least", "priority").alias("executable_id"))
