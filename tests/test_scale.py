@@ -67,3 +67,20 @@ def joined(df) -> int:
             todo.append(p.plan())
         todo += [p.children().apply(i) for i in range(p.children().size())]
     return most
+
+
+def named(spark, n: int):
+    """n tables and n references, all of one name and database, every third of another schema; the first of each is an external object that is both."""
+    bag = F.to_json(F.struct(F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("schema"), F.lit("same").alias("table")))
+    of = lambda kind, prefix: spark.range(n).select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("node_id"), F.lit(kind).alias("node_type"), F.lit("same").alias("technical_name"), F.concat(F.lit("x.s"), (F.col("id") % 3).cast("string"), F.lit(".same")).alias("qualified_name"), F.lit("DB").alias("database_key"), bag.alias("properties_json"))
+    return of("TABLE", "t").unionByName(of("UNRESOLVED_REFERENCE", "r")).unionByName(of("EXTERNAL_DATABASE_OBJECT", "e").limit(1))
+
+
+def test_best_candidates_of_a_name_without_all_pairs(spark):
+    n = 600
+    df = links.candidates(named(spark, n))
+    assert joined(df) <= 60 * n
+    for most in (1, 10):
+        rows = links.candidates(named(spark, n), most=most).where("reference_node_id = 'r4'").orderBy("rank").collect()
+        best = sorted(f"t{i}" for i in range(n) if i % 3 == 1)[:most]
+        assert [r["candidate_node_id"] for r in rows] == best and {round(r["score"], 6) for r in rows} == {1.0}

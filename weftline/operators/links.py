@@ -235,7 +235,21 @@ def candidates(nodes: DataFrame, minimum: float = 0.85, most: int = 10) -> DataF
     add = lambda ok, x: F.when(ok, F.lit(x)).otherwise(0.0)
     score = F.least(F.lit(0.65) + add(same_db, 0.2) + add(same_schema, 0.1) + add(suffix, 0.05), F.lit(1.0))
     reasons = F.concat_ws(",", F.lit("same_name"), F.when(same_db, "same_database"), F.when(same_schema, "same_schema"), F.when(suffix, "qualified_suffix"))
-    scored = refs.join(known, "key").withColumns({"score": score, "reasons": reasons})
+    # whatever is among the best of a reference is among the first ids of those that agree with it in the same things, and maybe more: these score no less
+    sizes = refs.select("key", F.length("rq").alias("size")).where("size is not null").distinct()
+    ends = known.join(sizes, "key").where(F.length("cq") >= F.col("size")).withColumn("end", F.right("cq", F.col("size"))).drop("size")
+    pairs = []
+    for of, more in ((known, []), (ends, ["end"])):
+        for same in ([], ["db"], ["schema"], ["db", "schema"]):
+            own = ["key", *more, *(f"c{k}" for k in same)]
+            w = Window.partitionBy(*own).orderBy("candidate_node_id")
+            best = of.where(" and ".join(f"c{k} <> ''" for k in same) or "true").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).drop("nth")
+            asked = refs.withColumns({"end": F.col("rq")} if more else {}).withColumns({f"c{k}": F.col(f"r{k}") for k in same})
+            pairs.append(asked.join(best, own).select("reference_node_id", "candidate_node_id", score.alias("score"), reasons.alias("reasons")))
+    scored = pairs[0]
+    for df in pairs[1:]:
+        scored = scored.unionByName(df)
+    scored = scored.repartition("reference_node_id").dropDuplicates(["reference_node_id", "candidate_node_id"])
     rank = F.row_number().over(Window.partitionBy("reference_node_id").orderBy(F.desc("score"), "candidate_node_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("reference_node_id", "candidate_node_id", "rank", "score", F.when(F.col("score") >= minimum, "eligible").otherwise("observe").alias("status"), "reasons")
 
