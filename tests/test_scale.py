@@ -76,6 +76,16 @@ def named(spark, n: int):
     return of("TABLE", "t").unionByName(of("UNRESOLVED_REFERENCE", "r")).unionByName(of("EXTERNAL_DATABASE_OBJECT", "e").limit(1))
 
 
+def test_references_of_a_name_do_not_meet_all_objects_of_it(spark):
+    n = 600
+    df = links.resolve_deferred(named(spark, n))
+    assert joined(df) <= 5 * n
+    rows = {r["ref_id"]: (r["candidates"], r["target_id"], r["status"]) for r in df.collect()}
+    external = [r for r in rows if r.startswith("e")]
+    assert rows["r1"][0] == n // 3 + (external == ["e1"]) and rows["r1"][2] == "AMBIGUOUS"
+    assert len(external) == 1 and rows[external[0]][0] == n // 3 and rows[external[0]][1].startswith("t")
+
+
 def test_best_candidates_of_a_name_without_all_pairs(spark):
     n = 600
     df = links.candidates(named(spark, n))
@@ -84,3 +94,4 @@ def test_best_candidates_of_a_name_without_all_pairs(spark):
         rows = links.candidates(named(spark, n), most=most).where("reference_node_id = 'r4'").orderBy("rank").collect()
         best = sorted(f"t{i}" for i in range(n) if i % 3 == 1)[:most]
         assert [r["candidate_node_id"] for r in rows] == best and {round(r["score"], 6) for r in rows} == {1.0}
+
