@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from weftline.model import DB_OBJECTS, Graph, Options
-from weftline.operators import links, traverse
+from weftline.operators import links, memory, traverse
 from weftline.plans import lift, queries
 from weftline.session import shared_dir
 
@@ -95,3 +95,22 @@ def test_best_candidates_of_a_name_without_all_pairs(spark):
         best = sorted(f"t{i}" for i in range(n) if i % 3 == 1)[:most]
         assert [r["candidate_node_id"] for r in rows] == best and {round(r["score"], 6) for r in rows} == {1.0}
 
+
+
+def test_steps_of_all_entries_and_all_targets(spark, sf):
+    df = queries.QUERIES["flow_steps"](spark, sf)
+    starts = df.where("step_index = 0").groupBy(F.split_part("node_id", F.lit(":"), F.lit(1)).alias("kind")).count().collect()
+    assert {r["kind"] for r in starts} == {"api-operation", "ui-action"}
+    assert df.where("step_index = 0").groupBy("node_id").count().agg(F.max("count")).first()[0] == reached_by_one(spark, sf)
+
+
+def reached_by_one(spark, sf) -> int:
+    """The most tables and external systems behind one action or operation."""
+    t = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("orders", "lineitem")}
+    both = t["orders"].join(t["lineitem"], F.col("o_orderkey") == F.col("l_orderkey"))
+    return both.groupBy("o_custkey").agg((F.count_distinct("l_partkey") + F.count_distinct("l_suppkey")).alias("n")).agg(F.max("n")).first()[0]
+
+
+def test_the_lift_says_all_types_of_ends(spark, sf):
+    e = lift.published(spark, sf).edges.select("edge_type", "source_type", "target_type").distinct().collect()
+    assert {(r[0], f"{r[1]} {r[2]}") for r in e} == {*lift.ENDS}
