@@ -111,6 +111,14 @@ def reached_by_one(spark, sf) -> int:
     return both.groupBy("o_custkey").agg((F.count_distinct("l_partkey") + F.count_distinct("l_suppkey")).alias("n")).agg(F.max("n")).first()[0]
 
 
+def test_chunks_have_evidence_and_issues(spark, sf):
+    chunks = queries.QUERIES["knowledge_chunks"](spark, sf).where("topic = 'apis'").agg(F.sum("bytes").alias("bytes"), F.sum("cards").alias("cards")).first()
+    g = lift.published(spark, sf)
+    lean = memory.markdown_cards(memory.cards(Graph(g.nodes, g.edges))).where("topic = 'apis'").agg(F.sum(F.octet_length("body")).alias("bytes"), F.count("*").alias("cards")).first()
+    # an operation's own evidence (of 73 characters) and issue are named in its card
+    assert chunks["cards"] == lean["cards"] and chunks["bytes"] >= lean["bytes"] + lean["cards"] * 80
+
+
 def test_the_lift_says_all_types_of_ends(spark, sf):
     e = lift.published(spark, sf).edges.select("edge_type", "source_type", "target_type").distinct().collect()
     assert {(r[0], f"{r[1]} {r[2]}") for r in e} == {*lift.ENDS}
