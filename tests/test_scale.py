@@ -11,6 +11,7 @@ from weftline.model import DB_OBJECTS, Graph, Options
 from weftline.operators import links, memory, traverse
 from weftline.plans import lift, queries
 from weftline.session import shared_dir
+from weftline.sources import packages
 
 
 def stored(spark) -> set[str]:
@@ -122,3 +123,21 @@ def test_chunks_have_evidence_and_issues(spark, sf):
 def test_the_lift_says_all_types_of_ends(spark, sf):
     e = lift.published(spark, sf).edges.select("edge_type", "source_type", "target_type").distinct().collect()
     assert {(r[0], f"{r[1]} {r[2]}") for r in e} == {*lift.ENDS}
+
+
+def test_edges_are_told_apart_before_their_ids_are_made(spark):
+    """Equal edges meet by their ends, which are short, and not by their hashes."""
+    jobs = spark.range(4).selectExpr("'N1' as jobnet_id", "concat('J', id % 2) as job_id", "'J0' as predecessor_job_id", "'C:\\\\x.exe' as executable_name")
+    e = packages.job_networks(jobs)[1].select("source_node_id", "edge_type", "target_node_id")
+    assert "sha2" not in e._jdf.queryExecution().optimizedPlan().toString()
+    assert e.count() == e.distinct().count() == 6
+
+
+def test_reachable_with_and_without_types(spark, sf):
+    g = lift.published(spark, sf)
+    starts = g.nodes.where("node_type = 'UI_ACTION'").select(F.col("node_id").alias("start"), "node_id", "node_type")
+    types = frozenset({"CALLS_API", "EXECUTES_SQL"})
+    a = traverse.reachable(g.edges, starts, "start", types, g)
+    assert a.columns == ["start", "node_id"]
+    b = traverse.reachable(g.edges.drop("source_type", "target_type"), starts.drop("node_type"), "start", types)
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0

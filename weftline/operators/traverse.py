@@ -229,20 +229,34 @@ def flow_io(flow_steps: DataFrame, io_items: DataFrame) -> DataFrame:
     return flow_steps.select("flow_id", F.col("node_id").alias("owner_node_id")).join(io_items.select("owner_node_id", "io_id", "direction"), "owner_node_id").select("flow_id", "io_id", "direction").distinct()
 
 
-def reachable(edges: DataFrame, starts: DataFrame, key: str | None = None, edge_types: frozenset[str] | None = None) -> DataFrame:
-    """node_id (and ``key`` of the start) of all that is reachable, starts included; cycles end, depth is unbounded."""
+def reachable(edges: DataFrame, starts: DataFrame, key: str | None = None, edge_types: frozenset[str] | None = None, graph: Graph | None = None) -> DataFrame:
+    """node_id (and ``key`` of the start) of all that is reachable, starts included; cycles end, depth is unbounded.
+
+    Where edges say the types of their ends, and starts theirs (node_type), a level reads the edges of its types, and is held against those before it of its types.
+    """
     steps = edges if edge_types is None else edges.where(one_of("edge_type", edge_types))
-    steps = steps.select(F.col("source_node_id").alias("node_id"), F.col("target_node_id").alias("next")).distinct()
+    known_types = typed(edges) and "node_type" in starts.columns
+    kind = [F.col("target_type").alias("node_type")] if known_types else []
+    steps = steps.select(F.col("source_node_id").alias("node_id"), F.col("target_node_id").alias("next"), *(["source_type", *kind] if known_types else []))
     keys = [key] if key else []
-    frontier, n = kept(starts.select(*keys, "node_id").distinct())
-    seen = [frontier]
+    columns = [*keys, "node_id", *(["node_type"] if known_types else [])]
+    frontier, n = kept(starts.select(*columns).distinct())
+    types = _kinds_of(frontier) if known_types else None
+    seen = [(frontier, types)]
     while n["rows"]:
-        step = _beside(steps, frontier, n["rows"], "node_id").select(*keys, F.col("next").alias("node_id")).distinct()
-        frontier, n = kept(step.join(_union(seen), [*keys, "node_id"], "left_anti"))
-        seen.append(frontier)
+        step = _beside(_only(steps, "source_type", types), frontier.drop("node_type"), n["rows"], "node_id")
+        step = step.select(*keys, F.col("next").alias("node_id"), *(["node_type"] if known_types else []))
+        onto = leading(graph, types, edge_types=edge_types) if known_types and graph is not None else None
+        step = step.groupBy(*keys, "node_id").agg(F.min("node_type").alias("node_type")) if known_types else step.distinct()
+        for x, of in seen:
+            if onto is None or of is None or {*onto} & {*of}:
+                step = step.join(x.select(*keys, "node_id"), [*keys, "node_id"], "left_anti")
+        frontier, n = kept(step)
+        types = _kinds_of(frontier) if known_types else None
+        seen.append((frontier, types))
         if len(seen) > 16:  # a long plan is cut now and then
-            seen = [written(_union(seen))]
-    return _union(seen)
+            seen = [(written(_union([x for x, _ in seen])), None)]
+    return _union([x for x, _ in seen]).select(*keys, "node_id")
 
 
 def relationships(graph: Graph, edge_types: frozenset[str], ui_types: frozenset[str], job_types: frozenset[str], db_types: frozenset[str], ui_depth: int = 6) -> DataFrame:
