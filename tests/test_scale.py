@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.model import DB_OBJECTS, Graph, Options
 from weftline.operators import links, memory, traverse
+from weftline.operators.api import table_lookup
 from weftline.plans import lift, queries
 from weftline.session import shared_dir
 from weftline.sources import packages
@@ -141,3 +142,10 @@ def test_reachable_with_and_without_types(spark, sf):
     assert a.columns == ["start", "node_id"]
     b = traverse.reachable(g.edges.drop("source_type", "target_type"), starts.drop("node_type"), "start", types)
     assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+
+
+def test_a_lookup_reads_a_bag_a_few_times(spark):
+    n = spark.range(1).selectExpr("concat('t', id) as node_id", "'app.T' as technical_name", "'X.T' as qualified_name", "'DB' as database_key", "id as a").withColumn("properties_json", F.to_json(F.struct("a")))
+    df = n.where(table_lookup("app.t"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("to_json") <= 1
+    assert df.count() == 1 and n.where(table_lookup("db.t")).count() == 1 and n.where(table_lookup("p.t")).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -55,17 +56,29 @@ def bounded_snippet(column: str, most: int = 500) -> Column:
     return F.when(F.length(column) > most, F.concat(F.left(column, F.lit(most - 1)), F.lit("…"))).otherwise(F.col(column))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def table_lookup(needle: str) -> Column:
     """Whether a node goes by ``needle``: equal to, or the dotted or colon end of, its qualified name, id, name, or name with database and schema."""
-    name = F.upper(filled(bag("properties_json", "table", "object_name"), "technical_name"))
-    parts = F.filter(F.split(name, r"\."), lambda p: p != "")
-    schema = F.upper(filled(bag("properties_json", "schema", "owner"), F.when(F.size(parts) >= 2, F.replace(F.try_element_at(parts, F.lit(-2)), F.lit('"')))))
-    leaf = F.coalesce(F.when(name.contains("."), F.replace(F.try_element_at(parts, F.lit(-1)), F.lit('"'))), name)
-    db = F.upper(filled("database_key", bag("properties_json", "database", "database_key")))
     dotted = lambda *c: F.concat_ws(".", *(F.nullif(x, F.lit("")) for x in c))
-    keys = F.array(F.upper("qualified_name"), F.upper("node_id"), leaf, dotted(db, leaf), dotted(db, schema, leaf))
     n = needle.upper()
-    return F.exists(F.filter(keys, lambda k: k != ""), lambda k: (k == n) | F.endswith(k, F.lit("." + n)) | F.endswith(k, F.lit(":" + n.replace(".", ":"))))
+
+    def named(r: Column) -> Column:
+        """Of a row's bag and keys."""
+        name = F.upper(filled(bag(r["properties_json"], "table", "object_name"), r["technical_name"]))
+        return bound(F.struct(name.alias("name"), F.filter(F.split(name, r"\."), lambda p: p != "").alias("parts")), lambda x: found(r, x))
+
+    def found(r: Column, x: Column) -> Column:
+        name, parts = x["name"], x["parts"]
+        schema = F.upper(filled(bag(r["properties_json"], "schema", "owner"), F.when(F.size(parts) >= 2, F.replace(F.try_element_at(parts, F.lit(-2)), F.lit('"')))))
+        leaf = F.coalesce(F.when(name.contains("."), F.replace(F.try_element_at(parts, F.lit(-1)), F.lit('"'))), name)
+        db = F.upper(filled(r["database_key"], bag(r["properties_json"], "database", "database_key")))
+        return bound(F.struct(leaf.alias("leaf"), db.alias("db"), schema.alias("schema")), lambda y: F.exists(F.filter(F.array(F.upper(r["qualified_name"]), F.upper(r["node_id"]), y["leaf"], dotted(y["db"], y["leaf"]), dotted(y["db"], y["schema"], y["leaf"])), lambda k: k != ""), lambda k: (k == n) | F.endswith(k, F.lit("." + n)) | F.endswith(k, F.lit(":" + n.replace(".", ":")))))
+
+    return bound(F.struct("properties_json", "technical_name", "qualified_name", "node_id", "database_key"), named)
 
 
 @dataclass(frozen=True)
